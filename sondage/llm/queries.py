@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import linededup, mixing, packing, simhash, tokens, toxicity
+from sondage.llm import ann, html_template, linededup, media, mixing, packing, simhash, substring, tokens, toxicity
 from sondage.llm._io import Scratch
 from sondage.session import table
 
@@ -22,6 +22,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.filter("vec_id % 20 = 0"), vectors)
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id as text leaves 2 modulo 4."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
@@ -49,11 +54,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture is drawn for every vector of embeddings; every picture is searched for the cropped and re-lit versions of
+    those whose id is divisible by 20. Per row its class of equal pictures and how many of the queries are tied to it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    pictures = media.textures_of(vectors, "vec_id", "embedding")
+    queries = media.textures_of(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
+    members, links, scratch = media.find_copies(pictures, queries)
+    with scratch:
+        tied = links.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min("query_id").alias("first_query"), F.max("corners").alias("corners"))
+        return scratch.keep(members.join(tied, "class_id", "left").select("media_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_query", "corners"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_toxicity, op4_line_dedup, op5_best_fit_packing, op6_simhash, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_toxicity, op4_line_dedup, op5_best_fit_packing, op6_simhash, op7_media_copies, op8_main_text, op9_repeated_passages, op10_mix_sources)}
 
 _LINES = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -83,4 +108,13 @@ SELECT a.doc_id, a.size, t.n AS source_size, t.target,
 FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": _LINES, "op10_mix_sources": _MIX}
+_NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op2_nearest_neighbours": _NEAREST, "op4_line_dedup": _LINES, "op10_mix_sources": _MIX}
