@@ -118,36 +118,52 @@ def frames(pages: DataFrame, scratch: Scratch, *, least_pages: int = 8) -> DataF
     return wide.groupBy("host").agg(F.max_by("own", F.struct("tokens", "pages")).alias("own")).select("host", F.transform("own", lambda x: x["key"]).alias("frame"))
 
 
-Stack = list[tuple[str, bool, bool]]  # open elements: (name, beside the article, in the article)
+Stack = list[tuple[str, bool, bool, int | None]]  # open elements: (name, beside the article, in the article, place in the frame)
 
 
-def _nest(stack: Stack, part: tuple, root: str | None) -> None:
-    """Opens or closes the element of a tag. Elements that are often left open count only where their class names them."""
-    _, _, name, closing, names = part
-    if closing:
-        if any(name == s[0] for s in stack):
-            while stack.pop()[0] != name:
-                pass
+def _open(stack: Stack, name: str, names: str, root: str | None, place: int | None) -> None:
+    """Elements that are often left open count only where their class names them or the frame has both their tags."""
+    if name in VOID or place is None and name not in FRAME and name not in ASIDE and not BESIDE.search(names):
         return
-    if name in VOID or name not in FRAME and name not in ASIDE and not BESIDE.search(names):
-        return
-    beside, inside = stack[-1][1:] if stack else (False, root is None)
+    beside, inside = stack[-1][1:3] if stack else (False, root is None)
     aside = name in ASIDE and not (name == "header" and inside and root) or bool(BESIDE.search(names)) and name not in ("html", "body", "article", "main")
-    stack.append((name, beside or aside, inside or name == root))
+    stack.append((name, beside or aside, inside or name == root, place))
+
+
+def _close(stack: Stack, name: str, place: int | None) -> None:
+    """Closes the frame's element at ``place`` with all that its slot left open, or, without a place, the nearest element of
+    that name within the slot."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][3] == place if place is not None else stack[k][0] == name and stack[k][3] is None:
+            del stack[k:]
+            return
+        if place is None and stack[k][3] is not None:
+            return
 
 
-def _tag(key: str) -> tuple:
-    """The part that a frame's key stands for."""
-    name, _, names = key.strip("</>").partition(" ")
-    return "tag", key, name, key.startswith("</"), names
+def nested(frame: list[str]) -> dict[str, int]:
+    """The tags of a frame that open and close an element, both, well nested: key -> place of the opening tag."""
+    waiting: list[tuple[str, int]] = []
+    out: dict[str, int] = {}
+    for i, key in enumerate(frame):
+        name = key.strip("</>").partition(" ")[0]
+        if key.startswith("</"):
+            while waiting and waiting[-1][0] != name and any(w[0] == name for w in waiting):
+                waiting.pop()
+            if waiting and waiting[-1][0] == name:
+                at = waiting.pop()[1]
+                out[frame[at]] = out[key] = at
+        elif key.startswith("<") and name not in VOID:
+            waiting.append((name, i))
+    return out
 
 
 def main_text(page: str | None, frame: list[str] | None = None) -> str:
     """The article's text.
 
-    A page that follows its host's frame (all of it, or up to where the page was cut off) is read slot by slot: at every
-    frame token the open elements are those of the frame, so what a slot leaves open ends with it. Frame texts are dropped.
-    Other pages are read by their own elements alone.
+    A page that follows its host's frame (all of it, or up to where the page was cut off) is read slot by slot: what a slot
+    leaves open ends with the frame's element around it, and what it closes too much stays in the slot. Frame texts are
+    dropped. Other pages are read by their own elements alone.
     """
     own = list(parts(page))
     has = {p[2] for p in own if p[0] == "tag" and not p[3]}
@@ -156,20 +172,20 @@ def main_text(page: str | None, frame: list[str] | None = None) -> str:
     keys = [p[1] if p[0] == "tag" else _key(clean(p[1])) for p in own] if wanted else []
     met = [k for k in keys if k in wanted]
     follows = bool(met) and met == frame[: len(met)]
+    places = nested(frame) if follows else {}
     stack: Stack = []
-    outer: Stack = []  # open elements of the frame
     out: list[str] = []
     for i, part in enumerate(own):
-        slot_ends = follows and keys[i] in wanted
         if part[0] == "tag":
-            if part[2] not in INLINE:
+            _, _, name, closing, names = part
+            if name not in INLINE:
                 out.append(" ")
-            if slot_ends:
-                _nest(outer, _tag(keys[i]), root)
-                stack = list(outer)
+            place = places.get(keys[i]) if follows else None
+            if closing:
+                _close(stack, name, place)
             else:
-                _nest(stack, part, root)
-        elif not slot_ends and (stack[-1][2] and not stack[-1][1] if stack else root is None):
+                _open(stack, name, names, root, place)
+        elif not (follows and keys[i] in wanted) and (stack[-1][2] and not stack[-1][1] if stack else root is None):
             out.append(html_.unescape(part[1]))
     return _SPACE.sub(" ", "".join(out)).strip()
 

@@ -110,8 +110,9 @@ class LineIndex:
 def dropped_keys(docs: DataFrame, scratch: Scratch, *, least: int = 10, batches: int = 4, fan_out: int = 2) -> DataFrame:
     """doc, k1, k2: the keys whose lines a document loses, as it isn't the first that holds them."""
     known = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"))
-    cuts = known.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
-    lines = scratch.table(line_table(docs, sorted(int(c) for c in cuts), least), "lines", partition_by="batch")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = known.agg(F.percentile_approx("doc", shares, 1000)).first()[0] if shares else None  # a bounded sketch
+    lines = scratch.table(line_table(docs, sorted(cuts or []), least), "lines", partition_by="batch")
     index, out = LineIndex(scratch, fan_out), []
     for b in range(batches):
         own = lines.filter(F.col("batch") == b).drop("batch")
@@ -132,9 +133,10 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, batches: int = 4, fan_out:
 
     A line goes if another document with a smaller id holds its key: the line without white space at its ends and with
     A-Z lower-cased, if that has at least ``least`` code points. Null or empty text is one empty line and comes back as an
-    empty text; rows that repeat an id count as one document; a null id counts as the largest; clashing column names are
-    the caller's to rename; an empty table gives no rows.
+    empty text; rows that repeat an id count as one document; a null id counts as the largest; columns with the names of
+    results are replaced; an empty table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     spark, names = docs.sparkSession, docs.columns
     with Scratch(spark, "lines") as scratch:
         lost = dropped_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch, least=least, batches=batches, fan_out=fan_out)

@@ -175,15 +175,17 @@ def word_prefix(text: str, words: int) -> str:
     return text[: end.end()] if end else ""
 
 
-def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: one row per copy taken; a copy of which only the first words are
-    taken holds the text up to there. Documents that the mix takes nothing of are absent."""
-    own = taken(docs, id_col=id_col, text_col=text_col, **options)
-    counts = own.filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    taken holds the text up to there. Documents that the mix takes nothing of are absent. Rows that repeat id, source and
+    size are taken alike, as the most taken of them."""
+    own = taken(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    counts = own.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     names = docs.columns
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumn("__id", F.col(id_col)).withColumn("__size", size)
-    joined = left.join(counts.select(F.col("doc_id").alias("__id2"), F.col("size").alias("__size2"), F.col("taken").alias("__taken")), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__size") == F.col("__size2")))
+    left = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": size})
+    right = counts.select(F.col("doc_id").alias("__id2"), F.col("source").alias("__source2"), F.col("size").alias("__size2"), F.col("taken").alias("__taken"))
+    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__id2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__size") == F.col("__size2")))
     copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int"))))
     words = (F.col("__taken") - F.col("__copy") * F.col("__size")).cast("long")
     rows = copies.select(*names, F.when(words < F.col("__size"), words).alias("__words"))

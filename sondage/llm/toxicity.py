@@ -172,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: in
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of the whole text, 0 to 1. Null and empty texts score what the bias says."""
+    """All columns of ``docs`` and the score of the whole text, 0 to 1. Null and empty texts score what the bias says; a column
+    with the score's name is replaced; rows keep their number and order; an empty table gives no rows."""
+    docs = docs.drop(score_col)
     held = docs.sparkSession.sparkContext.broadcast(machine)  # its size is bounded by the sample's terms
     names, at = docs.columns, docs.columns.index(text_col)
 
