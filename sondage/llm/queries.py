@@ -117,4 +117,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op2_nearest_neighbours": _NEAREST, "op4_line_dedup": _LINES, "op10_mix_sources": _MIX}
+_PASSAGES = r"""
+WITH t AS (SELECT doc_id, unnest(p) AS tok, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents)),
+p AS (SELECT *, (sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM t),
+w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, e - length(tok) AS s, e, translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS tok
+      FROM p WHERE regexp_matches(tok, '^[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, k, s, lead(e, 49) OVER (PARTITION BY doc_id ORDER BY k) AS e, string_agg(tok, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS h FROM w),
+r AS (SELECT doc_id, s, e, first_value(doc_id) OVER x AS first_doc, row_number() OVER x AS n FROM u WHERE e IS NOT NULL WINDOW x AS (PARTITION BY h ORDER BY doc_id, k)),
+g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b FROM r WHERE n > 1),
+i AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g)
+SELECT doc_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", arg_min(first_doc, s) AS first_doc FROM i GROUP BY doc_id, island
+"""
+
+#: What the pages of these tables are: one article, inline tags and few character references.
+_ARTICLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '</?(?:b|i|a|em|strong|span)(?: [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM c
+"""
+
+ORACLES: dict[str, str] = {"op8_main_text": _ARTICLE, "op9_repeated_passages": _PASSAGES, "op2_nearest_neighbours": _NEAREST, "op4_line_dedup": _LINES, "op10_mix_sources": _MIX}
