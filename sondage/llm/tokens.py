@@ -15,6 +15,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +36,14 @@ def _cut_rule(config: dict) -> str | None:
     """How a text may be cut so that the ids of the pieces, joined, are the ids of the text.
 
     ``lead``: byte-level BPE with its standard pattern never lets a token run from a visible character into white space.
-    ``word``: a split that removes white space never lets a token touch it.
+    ``word``: a split that removes white space never lets a token touch it (letters are lower-cased first).
     """
     pre = config.get("pre_tokenizer") or {}
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config.get("normalizer"):
         return "lead"
     parts = pre.get("pretokenizers") or []
     normal = {x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])}
-    if parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and normal <= {"NFC", "Replace", "Lowercase"}:
+    if parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "Lowercase" in normal and normal <= {"NFC", "Replace", "Lowercase"}:
         return "word"
     return None
 
@@ -51,10 +52,11 @@ class PieceEncoder:
     """Ids of whole texts, with a bounded memory of pieces met before.
 
     The library encodes every distinct piece; a text's ids are those of its pieces, joined. Where no cut is known to be
-    safe, and for texts with unusual white space, the whole text is encoded at once.
+    safe, and for texts with unusual white space, the whole text is encoded at once. The memory has two generations of at
+    most ``remembered`` pieces: a full young one becomes the old one, and what is met again comes back from it.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,9 +66,10 @@ class PieceEncoder:
             self.rule = _cut_rule(json.load(f))
         self.remembered = remembered
         self.known: dict = {}
+        self.old: dict = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
@@ -76,25 +79,34 @@ class PieceEncoder:
             out += self._encode(texts[a:b])
         return out
 
+    def _cut(self, text: str) -> list | None:
+        if self.rule == "lead":
+            return None if _ODD.search(text) else _LEAD.findall(text)
+        return text.encode().lower().split()  # the tokenizer lower-cases all letters, here only A-Z
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.rule is None:
             return self._library(texts)
-        cut = _LEAD.findall if self.rule == "lead" else lambda t: t.encode().split()
-        pieces = [None if self.rule == "lead" and _ODD.search(t) else cut(t) for t in texts]
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({p for own in pieces if own for p in own if p not in known})
+        if len(self.known) > self.remembered:
+            self.known, self.old = {}, self.known
+        pieces = [self._cut(t) for t in texts]
+        known, old = self.known, self.old
+        new = set().union(*filter(None, pieces)).difference(known)
+        if new and old:
+            again = [p for p in new if p in old]  # set methods would walk all of ``old``
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            new.difference_update(again)
         if new:
+            new = list(new)
             known.update(zip(new, self._library(new if self.rule == "lead" else [p.decode() for p in new]), strict=True))
         get = known.__getitem__
         return [self._library([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, pieces, strict=True)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int = 400_000) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, remembered)
 
 
 def _file_system(uri: str):
@@ -203,7 +215,7 @@ class ShardReader:
 
 
 def write_shards(
-    docs: DataFrame, out: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, seq_len: int = 2048, rows_per_batch: int = 64
+    docs: DataFrame, out: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, seq_len: int = 2048, rows_per_batch: int = 64, remembered: int = 600_000
 ) -> DataFrame:
     """Encodes whole texts and writes them as shards below ``out``, in ascending id order.
 
@@ -214,7 +226,7 @@ def write_shards(
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def write(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remembered)
         wide = enc.tokenizer.get_vocab_size() > 1 << 16
         k = TaskContext.get().partitionId()
         path, writer = f"{out}/shard-{k:08d}.arrows", None
