@@ -23,7 +23,7 @@ from sondage.llm._io import Scratch
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 500_000
+_REMEMBERED = 250_000
 _known: dict[bytes, int] = {}
 
 

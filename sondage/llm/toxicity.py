@@ -36,7 +36,7 @@ def buckets_of(word: str) -> list[int]:
 class Machine:
     """A fitted machine: sorted buckets, and per bucket its weight and factors. Buckets not met in fitting count nothing."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, factors: np.ndarray, bias: float, remembered: int = 400_000):
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, factors: np.ndarray, bias: float, remembered: int = 150_000):
         self.buckets, self.weights, self.factors, self.bias = buckets, weights, factors, bias
         self.remembered = remembered
         self._clear()
