@@ -19,6 +19,7 @@ from sondage.llm._io import Scratch
 
 SCALES = (1.0, 0.75, 0.5)
 REACH = 9  # of the brightness comparisons
+FILTER_BITS = 25  # 4 MB
 _random = np.random.default_rng(7)
 _TESTS = np.clip(np.rint(_random.normal(0, 4, (256, 2, 2))), -REACH + 2, REACH - 2)
 _GRID = np.mgrid[-REACH : REACH + 1, -REACH : REACH + 1].reshape(2, -1)
@@ -83,16 +84,44 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(np.concatenate(bits)).view(np.uint64), np.concatenate(geometry)
 
 
-def features(pictures: DataFrame) -> DataFrame:
-    """A row per corner: media_id, corner, table_keys (eight longs), x, y, scale, angle of (media_id, width, height, pixels)."""
+def slot(keys: np.ndarray) -> np.ndarray:
+    """The bit of a table key in the key filter."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(rows: DataFrame) -> np.ndarray:
+    """A bitset of 2**FILTER_BITS bits with those of all keys set. Its size is fixed, so it can be sent everywhere; with very
+    many keys it holds back less, and never a key that is there."""
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[slot(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    for row in rows.select("key").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row[0], dtype=np.uint8)
+    return out
+
+
+def features(pictures: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """A row per corner: media_id, corner, keys (eight longs, or those in ``wanted``), x, y, scale, angle of (media_id, width,
+    height, pixels). Corners without a wanted key have no row."""
+    held = pictures.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def each(batches):
+        test = np.unpackbits(held.value).view(bool) if held else None
         for batch in batches:
             rows: list[tuple] = []
             for media_id, width, height, pixels in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 bits, geometry = describe(np.frombuffer(pixels, dtype=np.uint8).reshape(height, width))
                 keys = bits.view(np.uint32).astype(np.int64) | np.arange(8, dtype=np.int64) << 32
-                rows += [(media_id, i, k, *g) for i, (k, g) in enumerate(zip(keys.tolist(), geometry.tolist(), strict=True))]
+                if test is None:
+                    rows += [(media_id, i, k, *g) for i, (k, g) in enumerate(zip(keys.tolist(), geometry.tolist(), strict=True))]
+                else:
+                    hit = test[slot(keys.ravel())].reshape(keys.shape)
+                    rows += [(media_id, int(i), keys[i][hit[i]].tolist(), *geometry[i].tolist()) for i in np.flatnonzero(hit.any(axis=1))]
             for at in range(0, len(rows), 20_000):
                 columns = zip(*rows[at : at + 20_000], strict=True)
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.float64()] * 4)
@@ -120,11 +149,11 @@ def find_copies(pictures: DataFrame, queries: DataFrame, *, least: int = 5) -> t
     firsts = scratch.table(marked.groupBy("digest").agg(F.min("media_id").alias("class_id")), "firsts")
     members = scratch.table(marked.join(firsts, "digest").select("media_id", "class_id"), "members")
     shown = pictures.join(firsts.select(F.col("class_id").alias("media_id")), "media_id", "left_semi").dropDuplicates(["media_id"])
-    spread = lambda df, name: features(df).select("media_id", "corner", "x", "y", "scale", "angle", F.explode("keys").alias("key")).select(F.col("media_id").alias(name), F.col("corner").alias(f"{name}_corner"), "key", *(F.col(c).alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle")))
+    spread = lambda df, name, wanted=None: features(df, wanted).select("media_id", "corner", "x", "y", "scale", "angle", F.explode("keys").alias("key")).select(F.col("media_id").alias(name), F.col("corner").alias(f"{name}_corner"), "key", *(F.col(c).alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle")))
     usable = queries.filter("media_id IS NOT NULL AND pixels IS NOT NULL AND width > 0 AND height > 0 AND length(pixels) = width * height")
     q = scratch.table(spread(usable.select("media_id", "width", "height", "pixels"), "q"), "queries")
-    keys = q.select("key").distinct()
-    c = spread(shown.select("media_id", "width", "height", "pixels"), "c").join(keys, "key", "left_semi")
+    # what no query can meet is held back where it is described; the join says the rest
+    c = spread(shown.select("media_id", "width", "height", "pixels"), "c", key_filter(q))
     met = q.join(c, "key")
     turn, ratio = F.col("c_angle") - F.col("q_angle"), F.col("q_scale") / F.col("c_scale")
     dx = F.col("c_x") - ratio * (F.col("q_x") * F.cos(turn) - F.col("q_y") * F.sin(turn))
