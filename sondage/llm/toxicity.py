@@ -84,36 +84,40 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def telling(rows: list[tuple[int, np.ndarray]], z: float, common: float) -> np.ndarray:
-    """Buckets worth fitting: those whose share of label 1 lies ``z`` standard errors from the share of all, and those
-    that at least ``common`` of all texts hold, which may tell in pairs."""
-    y = np.asarray([v for v, _ in rows], dtype=np.float64)
-    each = [np.unique(x) for _, x in rows]
-    buckets, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    ones = np.bincount(back, weights=np.repeat(y, [len(x) for x in each]), minlength=len(buckets))
-    p = y.mean()
-    score = (ones - counts * p) / np.sqrt(counts * p * (1 - p) + 1e-9)
-    return buckets[(np.abs(score) >= z) & (counts >= 3) | (counts >= common * len(rows))]
-
-
-def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, rounds: int = 6, rate: float = 0.2, decay: float = 1e-4, z: float = 5.0, common: float = 0.05, seed: int = 0) -> Machine:
-    """Fits by AdaGrad on (label, hashed terms), in batches of 32, over the ``telling`` terms."""
+def counted(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of the texts (``sizes`` values each, one after another), and how many texts hold each."""
+    return np.unique(np.unique(np.repeat(np.arange(len(sizes)) << 32, sizes) | flat) & 0xFFFFFFFF, return_counts=True)
+
+
+def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, alone: int = 6, rounds: int = 12, rate: float = 0.2, paired_rate: float = 0.02, shrink: float = 0.005, decay: float = 1e-4, paired_decay: float = 1e-3, least: int = 3, least_paired: int = 20, seed: int = 0) -> Machine:
+    """Fits by AdaGrad on (label, hashed terms), in batches of 32, over all terms of ``least`` texts or more.
+
+    Weights are fitted ``alone`` and then with factors, so that factors learn what weights leave open. ``shrink`` draws
+    weights to 0, as most terms tell nothing; terms of ``least_paired`` texts or more have factors, as with fewer texts a
+    pair has too few to learn from.
+    """
     if not rows or len({y for y, _ in rows}) < 2:
         bias = -50.0 if not rows or not rows[0][0] else 50.0
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), bias)
-    buckets = telling(rows, z, common)
-    docs = []
-    for _, x in rows:
-        at = np.searchsorted(buckets, x)
-        at[at == len(buckets)] = 0
-        docs.append(at[buckets[at] == x] if len(buckets) else at[:0])
+    # one array for all texts: many small ones would stay with the worker's memory
+    flat, sizes = np.concatenate([x for _, x in rows]), np.asarray([len(x) for _, x in rows])
+    buckets, counts = counted(flat, sizes)
+    held = counts[counts >= least] >= least_paired
+    buckets = buckets[counts >= least]
+    place = np.searchsorted(buckets, flat)
+    hit = place < len(buckets)
+    hit[hit] = buckets[place[hit]] == flat[hit]
+    docs = np.split(place[hit].astype(np.int32), np.cumsum(np.bincount(np.repeat(np.arange(len(rows)), sizes)[hit], minlength=len(rows)))[:-1])
+    del flat, place, hit
     y = np.asarray([float(v) for v, _ in rows])
     random = np.random.default_rng(seed)
     table = np.concatenate([np.zeros((len(buckets), 1)), random.normal(0, 0.01, (len(buckets), factors))], axis=1).astype(np.float32)
     past = np.full_like(table, 1e-2)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     past_bias = 1e-4
-    for _ in range(rounds):
+    rates = np.asarray([rate] + [paired_rate] * factors, dtype=np.float32)
+    table[~held, 1:] = 0
+    for step in range(alone + rounds):
         order = random.permutation(len(docs))
         for a in range(0, len(order), 32):
             own = [i for i in order[a : a + 32] if len(docs[i])]
@@ -133,9 +137,14 @@ def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, rounds: int = 6
             used, back = np.unique(flat, return_inverse=True)
             by = np.argsort(back, kind="stable")
             total = np.add.reduceat(grad[by], np.searchsorted(back[by], np.arange(len(used))), axis=0) / len(own)
-            total += decay * table[used]
+            total[:, 0] += decay * table[used, 0]
+            total[:, 1:] += paired_decay * table[used, 1:]
+            total[~held[used] | (step < alone), 1:] = 0
             past[used] += total**2
-            table[used] -= rate * total / np.sqrt(past[used])
+            pace = 1 / np.sqrt(past[used])
+            new = table[used] - rates * pace * total
+            new[:, 0] = np.sign(new[:, 0]) * np.maximum(np.abs(new[:, 0]) - rate * shrink * pace[:, 0], 0)
+            table[used] = new
             g = float(wrong.mean())
             past_bias += g * g
             bias -= rate * g / past_bias**0.5
@@ -145,7 +154,7 @@ def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, rounds: int = 6
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Machine:
     """Fits on at most ``per_class`` labelled documents of each class, those with the smallest hash of the id.
 
-    That bound is the only one: it keeps the fit in one executor's task. Rows labelled twice take the larger label; null
+    That bound is the only one on documents: it keeps the fit in one executor's task. Rows labelled twice take the larger label; null
     ids, labels and texts are left out of the fit.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
@@ -164,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: in
     def learn(batches):
         got = sorted((r["id"], r["y"], r["terms"]) for batch in batches for r in batch.to_pylist())
         seen = dict.fromkeys(((i, y), x) for i, y, x in got)  # repeated rows once
-        machine = fit([(y, np.frombuffer(x, dtype=np.int32).astype(np.int64)) for (_, y), x in seen], **options)
+        machine = fit([(y, np.frombuffer(x, dtype=np.int32)) for (_, y), x in seen], **options)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
 
     found = rows.coalesce(1).mapInArrow(learn, "machine binary").collect()
