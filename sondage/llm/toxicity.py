@@ -154,11 +154,15 @@ def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, alone: int = 6,
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Machine:
     """Fits on at most ``per_class`` labelled documents of each class, those with the smallest hash of the id.
 
-    That bound is the only one on documents: it keeps the fit in one executor's task. Rows labelled twice take the larger label; null
+    That bound is the only one on documents: it keeps the fit in one executor's task. Where it samples one class more than
+    the other, the bias is set back to the classes' share of all labels, so a score means the same at every size. Rows labelled twice take the larger label; null
     ids, labels and texts are left out of the fit.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     picked = [known.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
+    totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    shares = [min(per_class, totals.get(c, 0)) / totals[c] if totals.get(c) else 1.0 for c in (0, 1)]
+    shift = float(np.log(shares[1] / shares[0]))
     sample = scratch.table(picked[0].unionByName(picked[1]), "sample")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(sample), "id")
 
@@ -174,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: in
         got = sorted((r["id"], r["y"], r["terms"]) for batch in batches for r in batch.to_pylist())
         seen = dict.fromkeys(((i, y), x) for i, y, x in got)  # repeated rows once
         machine = fit([(y, np.frombuffer(x, dtype=np.int32)) for (_, y), x in seen], **options)
+        machine.bias -= shift
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
 
     found = rows.coalesce(1).mapInArrow(learn, "machine binary").collect()

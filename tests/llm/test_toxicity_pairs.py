@@ -33,3 +33,14 @@ def test_rare_slur_has_a_weight():
     rows = [(int(i % 2 == 0), terms(text(random, "slur" if i % 2 == 0 else "none") + " dolt" * (i % 2 == 0 and i < 8))) for i in range(4000)]
     machine = toxicity.fit(rows)
     assert set(toxicity.buckets_of("dolt")) <= set(machine.buckets.tolist())
+
+
+def test_sampling_keeps_the_prior(spark):
+    """Nothing tells but the share of a tenth toxic; 100 of each class are fitted."""
+    random = np.random.default_rng(9)
+    rows = [(i, text(random, "none")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    with Scratch(spark, "test") as scratch:
+        machine = toxicity.train(docs, marks, scratch, per_class=100, least=50)
+    assert 0.03 < machine.score([""])[0] < 0.25
