@@ -1,7 +1,7 @@
 """Entity resolution: records that share identity tokens are one entity.
 
-Phase one joins records over artifact tokens alone: connected components of a bipartite graph, by min-label rounds over
-joins. Phase two attaches over figure and plate tokens, but never merges two components that both have artifact tokens and
+Phase one joins records over artifact tokens alone: connected components of a bipartite graph, by large-star and
+small-star rounds over joins. Phase two attaches over figure and plate tokens, but never merges two components that both have artifact tokens and
 share none; that step depends on order and runs in one grouped function per job, over components instead of records.
 """
 
@@ -37,21 +37,24 @@ def record_tokens(ids: Column, figure: Column, figure_item: Column, plate: Colum
     return F.array_sort(F.array_distinct(F.concat(artifacts, F.array_compact(F.array(pair("figure", figure, figure_item), pair("plate", plate, plate_item))))))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (the smallest node reachable) over undirected links (a, b). Each round takes the least label among the
-    neighbours and then the label of that label, so long chains shorten by halves; the plan is cut by a checkpoint."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) over undirected links (a, b). Large-star and small-star steps by turns until
+    the links stay as they are, however long a chain is; the plan is cut by a checkpoint."""
     from sondage.operators.state import cut_lineage
 
-    both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut_lineage(labels.join(near, "node").join(up, "root", "left").select("node", F.least("root", "near", F.coalesce("up", "root")).alias("new"), F.col("root").alias("old")))
-        labels = new.select("node", F.col("new").alias("root"))
-        if new.filter("new <> old").limit(1).count() == 0:
-            break
-    return labels
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    nodes = cut_lineage(ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct())
+    now = cut_lineage(ends.filter("a <> b"))
+    signature = lambda: tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before, after = None, signature()
+    while before != after and after[0]:
+        around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut_lineage(around.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        now = cut_lineage(large.join(low, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, after = after, signature()
+    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
