@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 
 from sondage.llm._io import Scratch, slices
 
+#: Bytes of a generation of remembered pieces, and what an entry takes besides its text and ids.
+REMEMBERED, ENTRY = 40 << 20, 160
+#: Pieces that go to the library as one text.
+TOGETHER = 48
+_BLANK = frozenset(" \t\n\r\x0b\x0c")
 #: White space inside ASCII; every tokenizer rule here treats it as space.
 _LEAD = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: Characters that some libraries count as white space and some do not; texts that hold one are encoded in one piece.
@@ -49,28 +54,68 @@ def _cut_rule(config: dict) -> str | None:
 
 
 class PieceEncoder:
-    """Ids of whole texts, with a bounded memory of pieces met before.
+    """Ids of whole texts, as the library's ``encode(text, add_special_tokens=False)`` gives them, with a bounded memory of
+    pieces met before.
 
     The library encodes every distinct piece; a text's ids are those of its pieces, joined. Where no cut is known to be
-    safe, and for texts with unusual white space, the whole text is encoded at once. The memory has two generations of at
-    most ``remembered`` pieces: a full young one becomes the old one, and what is met again comes back from it.
+    safe, and for texts with unusual white space or an added token such as an end mark, the whole text is encoded at once.
+    The memory has two generations of at most ``remembered`` bytes: a full young one becomes the old one, and what is met
+    again comes back from it.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.rule = _cut_rule(json.load(f))
-        self.remembered = remembered
+            config = json.load(f)
+        self.rule = _cut_rule(config)
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in config.get("added_tokens") or []) or "(?!)", re.I)
+        suffix = config["model"].get("end_of_word_suffix") or ""
+        vocab = self.tokenizer.get_vocab()
+        #: Bytes of text that each id stands for: byte-level tokens have a letter for each.
+        self.spans = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.spans[i] = len(token) - len(suffix) * bool(suffix and token.endswith(suffix))
+        self.remembered, self.used = remembered, 0
         self.known: dict = {}
         self.old: dict = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of(self, pieces: list) -> list[bytes]:
+        """Ids of distinct pieces. Most go to the library some dozens at a time, as a text that cuts into them again; the
+        bytes that each id stands for say where the ids of a piece end. Where they don't say so, a piece goes alone."""
+        out: list[bytes | None] = [None] * len(pieces)
+        if self.rule == "lead":
+            fit = [i for i, p in enumerate(pieces) if p[0] in _BLANK and p[-1] not in _BLANK]
+            own = [pieces[i] for i in fit]
+            sizes = [len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in own]
+            joint = ""
+        else:
+            pieces = [p.decode() for p in pieces]
+            fit, own, joint = range(len(pieces)), pieces, " "
+            normal = self.tokenizer.normalizer.normalize_str(joint.join(own)).split(joint) if own else []
+            sizes = [len(p.encode()) for p in normal] if len(normal) == len(own) else []
+        if len(sizes) == len(own):
+            texts = [joint.join(own[a : a + TOGETHER]) for a in range(0, len(own), TOGETHER)]
+            for k, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.asarray(found.ids, dtype="<u4")
+                ends = np.cumsum(sizes[k * TOGETHER : (k + 1) * TOGETHER])
+                have = np.cumsum(self.spans[ids])
+                stops = np.searchsorted(have, ends)
+                if len(have) and have[-1] == ends[-1] and (have[np.minimum(stops, len(have) - 1)] == ends).all():
+                    raw, begin = ids.tobytes(), 0
+                    for i, end in zip(fit[k * TOGETHER : (k + 1) * TOGETHER], (4 * (stops + 1)).tolist(), strict=True):
+                        out[i] = raw[begin:end]
+                        begin = end
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(alone, self._library([pieces[i] for i in alone]), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         out: list[bytes] = []
@@ -80,6 +125,8 @@ class PieceEncoder:
         return out
 
     def _cut(self, text: str) -> list | None:
+        if self.marks.search(text):
+            return None
         if self.rule == "lead":
             return None if _ODD.search(text) else _LEAD.findall(text)
         return text.encode().lower().split()  # the tokenizer lower-cases all letters, here only A-Z
@@ -87,24 +134,24 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.rule is None:
             return self._library(texts)
-        if len(self.known) > self.remembered:
-            self.known, self.old = {}, self.known
+        if self.used > self.remembered:
+            self.known, self.old, self.used = {}, self.known, 0
         pieces = [self._cut(t) for t in texts]
         known, old = self.known, self.old
         new = set().union(*filter(None, pieces)).difference(known)
-        if new and old:
-            again = [p for p in new if p in old]  # set methods would walk all of ``old``
-            known.update(zip(again, map(old.__getitem__, again), strict=True))
-            new.difference_update(again)
         if new:
-            new = list(new)
-            known.update(zip(new, self._library(new if self.rule == "lead" else [p.decode() for p in new]), strict=True))
+            again = [p for p in new if p in old] if old else []  # set methods would walk all of ``old``
+            new.difference_update(again)
+            fresh = list(new)
+            for keys, ids in ((again, list(map(old.__getitem__, again))), (fresh, self._ids_of(fresh))):
+                known.update(zip(keys, ids, strict=True))
+                self.used += sum(map(len, keys)) + sum(map(len, ids)) + ENTRY * len(keys)
         get = known.__getitem__
         return [self._library([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, pieces, strict=True)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, remembered: int = 400_000) -> PieceEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
     return PieceEncoder(path, remembered)
 
@@ -215,7 +262,7 @@ class ShardReader:
 
 
 def write_shards(
-    docs: DataFrame, out: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, seq_len: int = 2048, rows_per_batch: int = 64, remembered: int = 600_000
+    docs: DataFrame, out: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, seq_len: int = 2048, rows_per_batch: int = 64, remembered: int = REMEMBERED
 ) -> DataFrame:
     """Encodes whole texts and writes them as shards below ``out``, in ascending id order.
 

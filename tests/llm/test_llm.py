@@ -28,7 +28,7 @@ def prose(seed: int, n: int) -> str:
 @pytest.fixture(scope="module")
 def awkward(spark):
     passage = prose(99, 60)
-    texts = [None, "", "  \n\t", "One line here\nAnother LONGER line\n", "another longer line  \nx", prose(1, 300), prose(1, 300), prose(1, 299) + " end", prose(2, 40) + " " + passage + " " + prose(3, 40), prose(4, 50) + "\n" + passage.upper() + "\n" + prose(5, 10), "Ünïcode 中文 ï​\x1c\xa0x don't 12345", "word " * 3000]
+    texts = [None, "", "  \n\t", "One line here\nAnother LONGER line\n", "another longer line  \nx", prose(1, 300), prose(1, 300), prose(1, 299) + " end", prose(2, 40) + " " + passage + " " + prose(3, 40), prose(4, 50) + "\n" + passage.upper() + "\n" + prose(5, 10), "Ünïcode 中文 ï​\x1c\xa0x don't 12345", "word " * 3000, "an end <|endoftext|> and a start<|startoftext|>inside"]
     rows = [(i, t, "en", None if i % 4 == 0 else f"s{i % 3}", len(t or ""), 1, "x", 0.0, 7) for i, t in enumerate(texts)]
     rows += [(None, "no id but a line of text", "en", "s1", 24, 1, "x", 0.0, 7), (5, prose(1, 300), "en", "s1", 3, 1, "x", 0.0, 7)]
     return spark.createDataFrame(rows, DOCS).repartition(3)
@@ -43,7 +43,6 @@ def encoded(name, text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -53,7 +52,7 @@ def crc(ids):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aBé'sé中1 \n\t\r\x0b\x0c\x1c\x85\xa0  .,!<|>☃́İΣς"), max_size=40), max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"aBé'sé中1 \n\t\r\x0b\x0c\x1c\x85\xa0  .,!<|>☃́İΣς", "<|endoftext|>", "<|StartOfText|>", " the", "word "]), max_size=40).map("".join), max_size=4))
 def test_pieces_are_exact(name, texts):
     own = tokens.encoder(queries.vocabulary(name)).encode(texts)
     assert own == [np.asarray(encoded(name, t)[:-1], dtype="<u4").tobytes() for t in texts]
