@@ -7,15 +7,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Of what goes to a Python worker at once.
+ARROW_BYTES = 4 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library in a session that somebody else has started.
+    """Lets Python workers import this library in a session that somebody else has started, and bounds what goes to them at
+    once by bytes, as texts may be very long.
 
     On a cluster the library is installed or shipped with ``--py-files``; the added entry is then one more
     folder on the path that holds nothing.
     """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
