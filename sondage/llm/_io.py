@@ -5,13 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of this process's own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session gets one of this process's own; on a
+    cluster executors would not see it, so it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sondage-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +66,15 @@ class Scratch:
         self.drop()
 
 
+def runs(column: pa.Array, most: int = 1 << 20):
+    """(from, to) of consecutive texts of an Arrow column with about ``most`` bytes together, before any of them becomes a
+    Python object; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(sizes, dtype=np.int64) // most + np.arange(len(sizes)) // 4096
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
+
 def slices(texts: list, most: int = 1 << 20):
     """(from, to) of consecutive texts with about ``most`` characters together, so that a batch stays small in Python."""
     begin = size = 0
