@@ -1,9 +1,9 @@
 """Cropped and edited copies of pictures by local descriptors.
 
 Corners are found at several scales, each gets an orientation from the intensity centroid around it, and 256 brightness
-comparisons, turned by that orientation, make a binary descriptor. Descriptors meet in Hamming tables: eight tables, each
-keyed by 32 of the bits, so descriptors that differ in at most seven bits meet in one at least. Meetings vote for the
-shift, turn and scale that would carry one picture onto the other; pictures are copies if enough corners agree on one.
+comparisons, turned by that orientation, make a binary descriptor. Descriptors meet in Hamming tables: ``TABLES`` tables, each
+keyed by its share of the bits, so descriptors that differ in fewer bits than there are tables meet in one at least. Each
+meeting says which shift, turn and zoom would carry one picture onto the other; pictures are copies if enough corners agree.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from sondage.llm._io import Scratch
 SCALES = (1.0, 0.75, 0.5)
 REACH = 9  # of the brightness comparisons
 FILTER_BITS = 25  # 4 MB
+#: Hamming tables: one for each 64-bit word of a descriptor.
+TABLES = 4
+#: How far placements may lie apart that agree: in powers of two, radians and pixels.
+ZOOM, TURN, SHIFT = 0.5, np.pi / 12, 6.0
 _random = np.random.default_rng(7)
 _TESTS = np.clip(np.rint(_random.normal(0, 4, (256, 2, 2))), -REACH + 2, REACH - 2)
 _GRID = np.mgrid[-REACH : REACH + 1, -REACH : REACH + 1].reshape(2, -1)
@@ -84,6 +88,13 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(np.concatenate(bits)).view(np.uint64), np.concatenate(geometry)
 
 
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """(n, TABLES) table keys of descriptors: the words of each, hashed with the table's number."""
+    own = bits ^ np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = (own ^ own >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)  # one-to-one, so equal keys are equal words
+    return (own ^ own >> np.uint64(29)).view(np.int64)
+
+
 def slot(keys: np.ndarray) -> np.ndarray:
     """The bit of a table key in the key filter."""
     return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -106,65 +117,115 @@ def key_filter(rows: DataFrame) -> np.ndarray:
 
 
 def features(pictures: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """A row per corner: media_id, corner, keys (eight longs, or those in ``wanted``), x, y, scale, angle of (media_id, width,
-    height, pixels). Corners without a wanted key have no row."""
+    """A row per corner and table: media_id, corner, key, x, y, scale, angle of (media_id, width, height, pixels); of keys
+    outside ``wanted`` none."""
     held = pictures.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def each(batches):
         test = np.unpackbits(held.value).view(bool) if held else None
         for batch in batches:
-            rows: list[tuple] = []
-            for media_id, width, height, pixels in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                bits, geometry = describe(np.frombuffer(pixels, dtype=np.uint8).reshape(height, width))
-                keys = bits.view(np.uint32).astype(np.int64) | np.arange(8, dtype=np.int64) << 32
-                if test is None:
-                    rows += [(media_id, i, k, *g) for i, (k, g) in enumerate(zip(keys.tolist(), geometry.tolist(), strict=True))]
-                else:
-                    hit = test[slot(keys.ravel())].reshape(keys.shape)
-                    rows += [(media_id, int(i), keys[i][hit[i]].tolist(), *geometry[i].tolist()) for i in np.flatnonzero(hit.any(axis=1))]
-            for at in range(0, len(rows), 20_000):
-                columns = zip(*rows[at : at + 20_000], strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.float64()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["media_id", "corner", "keys", "x", "y", "scale", "angle"])
-
-    return pictures.mapInArrow(each, "media_id long, corner int, keys array<long>, x double, y double, scale double, angle double")
+            for at in range(0, len(batch), 64):
+                part, found = batch.slice(at, 64), []
+                for media_id, width, height, pixels in zip(*(part.column(c) for c in range(4)), strict=True):
+                    image = np.frombuffer(pixels.as_buffer(), dtype=np.uint8).reshape(height.as_py(), width.as_py())
+                    bits, geometry = describe(image)
+                    keys = keys_of(bits)
+                    corner, table = np.nonzero(test[slot(keys.ravel())].reshape(keys.shape) if held else np.ones(keys.shape, dtype=bool))
+                    found.append((np.full(len(corner), media_id.as_py()), corner.astype(np.int32), keys[corner, table], *geometry[corner].T))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["media_id", "corner", "key", "x", "y", "scale", "angle"])
+
+    return pictures.mapInArrow(each, "media_id long, corner int, key long, x double, y double, scale double, angle double")
 
 
 def classes(pictures: DataFrame) -> DataFrame:
-    """media_id, class_id: the smallest id whose picture has the same size and pixels. Unusable pictures (null id or
-    pixels, sizes that do not fit) are in no class."""
-    fine = pictures.filter("media_id IS NOT NULL AND pixels IS NOT NULL AND width > 0 AND height > 0 AND length(pixels) = width * height")
-    return fine.select("media_id", F.sha2(F.concat(F.col("pixels"), F.encode(F.concat_ws("x", "width", "height"), "utf-8")), 256).alias("digest"))
+    """media_id, digest: equal where size and pixels are. Unusable pictures (null id or pixels, sizes that do not fit) have
+    none."""
+    return _fine(pictures).select("media_id", F.sha2(F.concat(F.col("pixels"), F.encode(F.concat_ws("x", "width", "height"), "utf-8")), 256).alias("digest"))
+
+
+def _fine(pictures: DataFrame) -> DataFrame:
+    return pictures.filter("media_id IS NOT NULL AND pixels IS NOT NULL AND width > 0 AND height > 0 AND length(pixels) = width * height")
+
 
+def agreement(corner: np.ndarray, zoom: np.ndarray, turn: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> tuple[int, int]:
+    """How many corners agree with the placement that most do, and which meeting has it (the first on ties). Each meeting's
+    placement is tried, so none is cut off by a border of cells."""
+    best = (0, 0)
+    for i in range(len(corner)):
+        away = np.abs(turn - turn[i]) % (2 * np.pi)
+        near = (np.abs(zoom - zoom[i]) <= ZOOM) & (np.minimum(away, 2 * np.pi - away) <= TURN) & (np.abs(dx - dx[i]) <= SHIFT) & (np.abs(dy - dy[i]) <= SHIFT)
+        n = len(np.unique(corner[near]))
+        if n > best[0]:
+            best = (n, i)
+    return best
 
-def find_copies(pictures: DataFrame, queries: DataFrame, *, least: int = 5) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(membership: media_id, class_id; links: query_id, class_id, corners, shift and turn) and the folder that holds both.
 
-    A link says that at least ``least`` corners of the query agree on one placement in the pictures of a class. Exact
-    copies are one class, so a picture with many copies is described and joined once. Pictures without corners, empty
-    tables and unusable pictures give no links. Close the folder when done.
+def consensus(met: DataFrame, least: int) -> DataFrame:
+    """q, c, corners, zoom, turn, dx, dy: the placement that most corners of a pair agree on, if ``least`` do. The rows of one
+    pair are at most the product of two pictures' corners."""
+
+    def each(batches):
+        held = None  # rows of the last pair, which the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            q, c = rows["q"].to_numpy(), rows["c"].to_numpy()
+            cuts = np.flatnonzero((q[1:] != q[:-1]) | (c[1:] != c[:-1])) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            held = rows.slice(last)
+            yield judged(rows.slice(0, last), cuts[:-1])
+        if held is not None:
+            yield judged(held, np.zeros(0, dtype=np.int64))
+
+    def judged(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        columns = [rows[c].to_numpy() for c in ("q", "c", "q_corner", "zoom", "turn", "dx", "dy")]
+        out = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+            if b - a >= least:
+                n, i = agreement(*(x[a:b] for x in columns[2:]))
+                if n >= least:
+                    out.append((columns[0][a], columns[1][a], n, *(float(x[a + i]) for x in columns[3:])))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["q", "c", "corners", "zoom", "turn", "dx", "dy"])
+
+    order = ["q", "c", "q_corner", "zoom", "turn", "dx", "dy"]
+    dealt = met.select(*order).repartition("q", "c").sortWithinPartitions(*order)
+    return dealt.mapInArrow(each, "q long, c long, corners int, zoom double, turn double, dx double, dy double")
+
+
+def find_copies(pictures: DataFrame, queries: DataFrame, *, least: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """(membership: media_id, class_id; the queries' membership: query_id, query_class; links: query_class, class_id, corners,
+    zoom, turn, dx, dy) and the folder that holds them. Close it when done.
+
+    A link says that at least ``least`` corners of the query agree on one placement in the pictures of a class. Equal pictures
+    are one class, named by the smallest id, so a picture with many copies is described and joined once, on both sides; a row
+    that repeats an id with another picture is in the class of each. Pictures without corners, empty tables and unusable
+    pictures (null id or pixels, sizes that do not fit) give no links, unusable ones no class; other columns are not read.
     """
     scratch = Scratch(pictures.sparkSession, "media")
-    marked = scratch.table(classes(pictures), "marked")
-    firsts = scratch.table(marked.groupBy("digest").agg(F.min("media_id").alias("class_id")), "firsts")
-    members = scratch.table(marked.join(firsts, "digest").select("media_id", "class_id"), "members")
-    shown = pictures.join(firsts.select(F.col("class_id").alias("media_id")), "media_id", "left_semi").dropDuplicates(["media_id"])
-    spread = lambda df, name, wanted=None: features(df, wanted).select("media_id", "corner", "x", "y", "scale", "angle", F.explode("keys").alias("key")).select(F.col("media_id").alias(name), F.col("corner").alias(f"{name}_corner"), "key", *(F.col(c).alias(f"{name}_{c}") for c in ("x", "y", "scale", "angle")))
-    usable = queries.filter("media_id IS NOT NULL AND pixels IS NOT NULL AND width > 0 AND height > 0 AND length(pixels) = width * height")
-    q = scratch.table(spread(usable.select("media_id", "width", "height", "pixels"), "q"), "queries")
+
+    def grouped(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        marked = scratch.table(classes(df), f"{name}-marked")
+        firsts = scratch.table(marked.groupBy("digest").agg(F.min("media_id").alias("class_id")), f"{name}-firsts")
+        members = scratch.table(marked.join(firsts, "digest").select("media_id", "class_id").distinct(), f"{name}-members")
+        rows = _fine(df.select("media_id", "width", "height", "pixels"))
+        return members, rows.join(firsts.select(F.col("class_id").alias("media_id")).distinct(), "media_id", "left_semi")
+
+    def spread(df: DataFrame, name: str, wanted: np.ndarray | None = None) -> DataFrame:
+        return features(df, wanted).select("key", F.col("media_id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("corner", "x", "y", "scale", "angle")))
+
+    members, shown = grouped(pictures, "c")
+    asked, asking = grouped(queries, "q")
+    q = scratch.table(spread(asking, "q"), "queries")
     # what no query can meet is held back where it is described; the join says the rest
-    c = spread(shown.select("media_id", "width", "height", "pixels"), "c", key_filter(q))
-    met = q.join(c, "key")
+    met = q.join(spread(shown, "c", key_filter(q)), "key")
     turn, ratio = F.col("c_angle") - F.col("q_angle"), F.col("q_scale") / F.col("c_scale")
     dx = F.col("c_x") - ratio * (F.col("q_x") * F.cos(turn) - F.col("q_y") * F.sin(turn))
     dy = F.col("c_y") - ratio * (F.col("q_x") * F.sin(turn) + F.col("q_y") * F.cos(turn))
-    # two overlapping grids of placements, so none is cut apart by a border of both
-    placed = met.select("q", "c", "q_corner", F.round(F.log2(ratio) * 2).alias("zoom"), F.pmod(F.round(turn / (np.pi / 6)), F.lit(12)).alias("turn"), dx.alias("dx"), dy.alias("dy"), F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
-    cell = lambda v: F.floor(F.col(v) / 12 + F.col("grid") / 2)
-    votes = placed.groupBy("q", "c", "grid", "zoom", "turn", cell("dx").alias("gx"), cell("dy").alias("gy")).agg(F.countDistinct("q_corner").alias("corners"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
-    best = votes.filter(F.col("corners") >= least).groupBy("q", "c").agg(F.max(F.struct("corners", "turn", "zoom", "dx", "dy")).alias("best"))
-    links = best.select(F.col("q").alias("query_id"), F.col("c").alias("class_id"), F.col("best.corners").cast("int").alias("corners"), F.col("best.dx").alias("dx"), F.col("best.dy").alias("dy"), F.col("best.turn").alias("turn"))
-    return members, scratch.table(links, "links"), scratch
+    # corners that meet in several tables say the same
+    placed = met.select("q", "c", "q_corner", "c_corner", F.log2(ratio).alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy")).dropDuplicates(["q", "c", "q_corner", "c_corner"])
+    links = consensus(placed, least).select(F.col("q").alias("query_class"), F.col("c").alias("class_id"), "corners", "zoom", "turn", "dx", "dy")
+    return members, asked.select(F.col("media_id").alias("query_id"), F.col("class_id").alias("query_class")), scratch.table(links, "links"), scratch
 
 
 def texture(seed: bytes, side: int = 64, cells: int = 22) -> np.ndarray:
@@ -184,14 +245,13 @@ def textures_of(vectors: DataFrame, id_col: str, vector_col: str, edit: bool = F
 
     def draw(batches):
         for batch in batches:
-            ids, pixels = [], []
-            w = h = 0
-            for i, vec in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                own = texture(np.asarray([np.nan if v is None else v for v in vec or ()], dtype="<f8").tobytes())
-                own = edited(own) if edit else own
+            for at in range(0, len(batch), 256):
+                ids, pixels = batch.column(0).slice(at, 256), []
+                for vec in batch.column(1).slice(at, 256).to_pylist():
+                    own = texture(np.asarray([np.nan if v is None else v for v in vec or ()], dtype="<f8").tobytes())
+                    own = edited(own) if edit else own
+                    pixels.append(own.tobytes())
                 h, w = own.shape
-                ids.append(i)
-                pixels.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w] * len(ids), pa.int32()), pa.array([h] * len(ids), pa.int32()), pa.array(pixels, pa.binary())], names=["media_id", "width", "height", "pixels"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([w] * len(ids), pa.int32()), pa.array([h] * len(ids), pa.int32()), pa.array(pixels, pa.binary())], names=["media_id", "width", "height", "pixels"])
 
     return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(draw, "media_id long, width int, height int, pixels binary")

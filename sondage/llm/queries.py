@@ -60,9 +60,10 @@ def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     pictures = media.textures_of(vectors, "vec_id", "embedding")
     queries = media.textures_of(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
-    members, links, scratch = media.find_copies(pictures, queries)
+    members, asked, links, scratch = media.find_copies(pictures, queries)
     with scratch:
-        tied = links.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min("query_id").alias("first_query"), F.max("corners").alias("corners"))
+        weight = asked.groupBy("query_class").agg(F.count("*").alias("n"), F.min("query_id").alias("first"))
+        tied = links.join(weight, "query_class").groupBy("class_id").agg(F.sum("n").alias("n_links"), F.min("first").alias("first_query"), F.max("corners").alias("corners"))
         return scratch.keep(members.join(tied, "class_id", "left").select("media_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_query", "corners"))
 
 
