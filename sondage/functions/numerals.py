@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Digits and units.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+LABEL_DIGITS = "零一二三四五六七八九"
 SMALL_UNITS = {"十": 10, "百": 100, "千": 1000}
 LARGE_UNITS = {"万": 10_000, "亿": 100_000_000}
 
@@ -56,17 +57,13 @@ def reference_number(text: str | None, *, traditional: bool = True) -> int | Non
     return _sections(text, digits, units) if all(c in digits or c in units for c in text) else None
 
 
-def label_number(text: str | None) -> int | None:
-    """As sequence labels are read: one digit, or at most 99 around a single 十."""
-    text = text or ""
-    if not text or any(c not in DIGITS and c != "十" for c in text):
-        return None
-    if "十" not in text:
-        return DIGITS[text] if len(text) == 1 else None
-    left, _, right = text.partition("十")
-    if "十" in right or len(text) > 3:
-        return None
-    return (DIGITS.get(left, 1) if left else 1) * 10 + (DIGITS.get(right, 0) if right else 0)
+def label_number_column(c: Column) -> Column:
+    """As sequence labels are read: one digit, or at most 99 around a single 十; null otherwise."""
+    text = F.translate(c, "〇", "零")
+    value = lambda x: F.position(x, F.lit(LABEL_DIGITS)) - 1
+    shape = f"^([{LABEL_DIGITS}]?)十([{LABEL_DIGITS}]?)$"
+    tens, ones = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
+    return F.when(text.rlike(f"^[{LABEL_DIGITS}]$"), value(text)).when(text.rlike(shape), F.when(tens == "", 1).otherwise(value(tens)) * 10 + F.when(ones == "", 0).otherwise(value(ones)))
 
 
 def _udf(function, kind: str):
@@ -77,12 +74,18 @@ def prose_number_column(c: Column) -> Column:
     return _udf(prose_number, "long")(c)
 
 
-def reference_number_column(c: Column) -> Column:
-    return _udf(reference_number, "long")(c)
-
-
-def label_number_column(c: Column) -> Column:
-    return _udf(label_number, "long")(c)
+def reference_number_column(c: Column, *, traditional: bool = True) -> Column:
+    """As figure and plate numbers are read: ASCII digits, positional numerals, or with 十 and 百; null otherwise. An expression,
+    so it can be used on the elements of an array; ``c`` is normalised already."""
+    digits = {k: v for k, v in DIGITS.items()} | ({"兩": 2} if traditional else {})
+    letters = "".join(digits)
+    value = lambda x: F.translate(x, letters, "".join(str(v) for v in digits.values())).cast("long")
+    unit = lambda x: F.when(x == "十", 10).when(x == "百", 100)
+    zero = F.lit(0).cast("long")
+    step = lambda acc, x: F.when(unit(x).isNull(), F.struct(acc["total"].alias("total"), value(x).alias("pending"))).otherwise(F.struct((acc["total"] + F.when(acc["pending"] > 0, acc["pending"]).otherwise(1) * unit(x)).alias("total"), zero.alias("pending")))
+    text = F.trim(c)
+    summed = F.aggregate(F.split(text, ""), F.struct(zero.alias("total"), zero.alias("pending")), step, lambda acc: acc["total"] + acc["pending"])
+    return F.when(text.rlike(r"^[0-9]{1,18}$"), text.cast("long")).when(text.rlike(f"^[{letters}]{{1,18}}$"), value(text)).when(text.rlike(f"^[{letters}十百]+$"), summed)
 
 
 def replace_prose_numbers(c: Column) -> Column:

@@ -1,8 +1,45 @@
-"""One-to-one assignment within a small group of boxes (one page), for grouped functions."""
+"""One-to-one assignment within a small group of boxes (one page), and a way to run it over very many small groups."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+
+def per_group(rows: DataFrame, keys: list[str], order: list[str], each: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """``each`` over the columns of every group of ``keys``, in ``order``; it returns rows of ``schema``. Groups come many to an
+    Arrow batch, so a group of a few rows costs no call of its own; only one group is held beyond its batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    names = rows.columns
+
+    def run(batches):
+        def judged(part: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            columns = {c: part[c].to_numpy() for c in names}
+            out = [row for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True) if b > a for row in each({c: x[a:b] for c, x in columns.items()})]
+            return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], f.type) for i, f in enumerate(kind)], schema=kind)
+
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if held is None else pa.concat_tables([held, part])
+            moved = np.zeros(max(0, len(part) - 1), dtype=bool)
+            for key in keys:
+                own = part[key].to_numpy()
+                moved |= own[1:] != own[:-1]
+            cuts = (np.flatnonzero(moved) + 1).tolist()
+            last = cuts[-1] if cuts else 0
+            held = part.slice(last)
+            yield judged(part.slice(0, last), cuts[:-1])
+        if held is not None:
+            yield judged(held, [])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def greedy(pairs: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:

@@ -58,11 +58,32 @@ def test_empty_page_table(spark):
     assert match.match_pages(spark.createDataFrame([], REGION)).count() == 0
 
 
-def test_caption_items():
-    assert match.caption_items("图3-4:5") == {5}
-    assert match.caption_items("1-3. 罐 7、碗") == {1, 2, 3, 7}
-    assert match.label_items("l2") == {12} and match.label_items("十二") == {12}
-    assert match.items_agree("1. 罐", "1") == 1.0 and match.items_agree("1. 罐", "2") == 0.0 and match.items_agree("", "2") is None
+@pytest.mark.parametrize(
+    ("caption", "label", "items", "said", "agree"),
+    [
+        ("图3-4:5", "5", [5], [5], 1.0),
+        ("1-3. 罐 7、碗", "l2", [1, 2, 3, 7], [12], 0.0),
+        ("１～３．罐", "3", [1, 2, 3], [3], 1.0),  # full width
+        ("9-3. 倒 ", "9", [3, 9], [9], 1.0),  # a range that falls is its ends
+        ("2-200. 长", "100", [2, 200], [100], 0.0),
+        ("十二、罐 二十. 碗", "十二", [12, 20], [12], 1.0),
+        ("M12:5. 罐", "O|", [5], [1], 0.0),
+        ("3为罐，4是碗", "Fig 4", [3, 4], [4], 1.0),
+        ("no items", "7", [], [7], None),
+        ("1. 罐", "", [1], [], None),
+        (None, None, [], [], None),
+    ],
+)
+def test_items(spark, caption, label, items, said, agree):
+    row = spark.createDataFrame([(caption, label)], "c string, l string").select(match.caption_items(F.coalesce("c", F.lit(""))).alias("c"), match.label_items(F.coalesce("l", F.lit(""))).alias("l"))
+    got = row.select("c", "l", match.items_agree(F.col("c"), F.col("l")).alias("agree")).first()
+    assert (sorted(got["c"]), sorted(got["l"]), got["agree"]) == (items, said, agree)
+
+
+def test_references(spark):
+    rows = spark.createDataFrame([("H125:1 见图六-3，并参见彩版八：2。",), ("圖两-A; Figure 12: 3b plate十",), ("m 13 : a9 and Fig 007",)], "t string")
+    got = [r["references"] for r in index.references(rows, "t").collect()]
+    assert got == [["artifact:h1251", "figure:6:3", "plate:8:2"], ["figure:12:3b", "figure:2:a", "plate:10"], ["artifact:m13a9", "figure:7"]]
 
 
 def test_detection(spark):
@@ -91,15 +112,9 @@ def test_components_chain(spark):
     assert all(got[i] == (0 if i < 20 else 20) for i in range(41))
 
 
-def test_references(spark):
-    page = spark.createDataFrame([("标本H125:1，见图六，3；彩版八：2",)], "text string")
-    got = index.references(page, "text").first()["references"]
-    assert {"artifact:h1251", "figure:6:3", "plate:8:2"} <= set(got)
-
-
 def test_recall(spark):
     requested = spark.createDataFrame([(["figure:6:3", "plate:8:2"],)], "references array<string>")
-    pages = spark.createDataFrame([("d", 2, "document", ["figure:6:3"]), ("d", 3, "document", ["figure:6:3"]), ("d", 286, "color_plate", ["plate:8"]), ("d", 300, "document", ["plate:9"])], "document_id string, page int, page_type string, references array<string>")
+    pages = spark.createDataFrame([("d", 2, "document", ["figure:6:3"]), ("d", 3, "monochrome_visual", ["figure:6:3"]), ("d", 4, "document", ["figure:6:3"]), ("d", 286, "color_plate", ["plate:8"]), ("d", 300, "document", ["plate:9"])], "document_id string, page int, page_type string, references array<string>")
     assert sorted(r["page"] for r in index.recall(requested, pages, [2], 24).collect()) == [3, 286]
     assert index.unresolved(requested, pages).count() == 0
     assert (index.scaled_limit(275, 24, 0.15), index.scaled_limit(275, 80, 0.45)) == (42, 124)

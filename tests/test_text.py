@@ -10,10 +10,13 @@ def values(spark, rows, expression, schema="v string"):
     return [r[0] for r in spark.createDataFrame([(r,) if not isinstance(r, tuple) else r for r in rows], schema).select(expression).collect()]
 
 
-def test_numerals():
+def test_numerals(spark):
     assert [numerals.prose_number(x) for x in ("一百零二", "万", "一万二千", "二〇二六", "三亿五", "十")] == [102, 0, 12000, 2026, 300000005, 10]
     assert [numerals.reference_number(x) for x in ("八", "十二", "一百零二", "12", "千", "", None)] == [8, 12, 102, 12, None, None, None]
-    assert [numerals.label_number(x) for x in ("二十三", "十", "一二", "三", "", "百")] == [23, 10, None, 3, None, None]
+    texts = ["二十三", "十", "一二", "三", "", "百", "八", "十二", "一百零二", "12", "千", "一〇三", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(numerals.label_number_column(F.col("t")), numerals.reference_number_column(F.col("t"))).collect()
+    assert [r[0] for r in got] == [23, 10, None, 3, None, None, 8, 12, None, None, None, None, None]
+    assert [r[1] for r in got] == [numerals.reference_number(x) for x in texts] == [23, 10, 12, 3, None, 100, 8, 12, 102, 12, None, 103, None]
 
 
 def test_clean_and_identifier(spark):
