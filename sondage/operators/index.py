@@ -17,19 +17,23 @@ VISUAL = ["artifact", "line_drawing", "grave_drawing", "color_plate", "group"]
 # Thresholds of page classes.
 COLOR_RATIO, CHROMA, TILE, RUN = 0.035, 18.0, 0.08, 3
 TYPE_BONUS = {"color_plate": 0.35, "color_visual": 0.3, "monochrome_visual": 0.25, "mixed_visual": 0.2}
-ARTIFACT = r"(?<![A-Za-z0-9])([A-Za-z]{1,6}\d+[A-Za-z]?(?:\s*[:：-]\s*[A-Za-z]?\d+[A-Za-z]?)+)"
-FIGURE = rf"(?i)(?:图|figure|fig\.?)\s*([{NUMERALS}\d]+)(?:\s*[-–—:：,，.]\s*([{NUMERALS}\d]+))?"
-PLATE = rf"(?i)(?:彩版|彩图|图版|plate)\s*([{NUMERALS}\d]+)(?:\s*[-–—:：,，.]\s*([{NUMERALS}\d]+))?"
+# References to objects, figures and plates.
+ARTIFACT = r"(?U)(?<![A-Za-z0-9])([A-Za-z]{1,5}\s*\d+[A-Za-z]?(?:\s*[:：]\s*[A-Za-z0-9]+)+)"
+FIGURE = r"(?iU)(?:图|圖|fig(?:ure)?)\s*([一二三四五六七八九十百零〇两兩0-9]+)(?:\s*[-—–:：]\s*([A-Za-z0-9一二三四五六七八九十]+))?"
+PLATE = r"(?iU)(?:彩版|彩图|彩圖|图版|圖版|plate)\s*([一二三四五六七八九十百零〇两兩0-9]+)(?:\s*[-—–:：]\s*([A-Za-z0-9一二三四五六七八九十]+))?"
+# Page types on which a figure or plate can be.
+PICTURED = ["color_plate", "color_visual", "monochrome_visual", "mixed_visual"]
 
 
-def is_index_title(text: Column) -> Column:
+def is_index_title(raw: Column, normal: bool = False) -> Column:
+    text = raw if normal else nfkc(raw)
     return text.rlike(INDEX_TITLE) | F.regexp_replace(text, SPACE, "").rlike(INDEX_TITLE)
 
 
-def is_index_text(text: Column, entries: int = 8, longest: int = 120) -> Column:
-    """A reference list: by its title, or by enough short entry lines."""
+def is_index_text(text: Column, entries: int = 8, longest: int = 120, normal: bool = False) -> Column:
+    """A reference list: by its title, or by enough short entry lines. ``normal`` promises normalised text."""
     short = F.filter(F.split(text, "\n"), lambda x: x.rlike(INDEX_ENTRY) & (F.length(F.trim(x)) <= longest))
-    return F.coalesce(is_index_title(text) | (F.size(short) >= entries), F.lit(False))
+    return F.coalesce(is_index_title(text, normal) | (F.size(short) >= entries), F.lit(False))
 
 
 def index_pages(regions: DataFrame) -> DataFrame:
@@ -51,42 +55,20 @@ def records_off_index_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame, text: str, normal: bool = False) -> DataFrame:
-    """The rows with ``references``: sorted distinct artifact:x, figure:n[:i], plate:n[:i]. Numbers in ASCII stay in the
-    JVM; ``normal`` promises ASCII."""
-    t = F.coalesce(F.col(text), F.lit("")) if normal else nfkc(F.coalesce(F.col(text), F.lit("")))
-    number = (lambda c: F.regexp_replace(c, "^0+(?=.)", "")) if normal else (lambda c: reference_number_column(c).cast("string"))
-    artifacts = F.transform(F.regexp_extract_all(t, F.lit(ARTIFACT), F.lit(1)), lambda v: F.concat(F.lit("artifact:"), F.lower(F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))))
-    artifacts = F.filter(artifacts, lambda v: F.length(v) >= len("artifact:") + 3)
-    if normal:
-        def family(kind: str, pattern: str) -> Column:
-            found = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("i"))
-            return F.transform(found, lambda x: F.concat(F.lit(f"{kind}:"), number(x["n"]), F.when(x["i"] != "", F.concat(F.lit(":"), number(x["i"]))).otherwise("")))
+    """The rows with ``references``: sorted distinct artifact:x, figure:n[:i], plate:n[:i]. Numerals are numbers; an item that is
+    none counts by its letters and digits. ``normal`` promises normalised text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    t = t if normal else nfkc(t)
+    bare = lambda v: F.lower(F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
+    number = lambda v: F.coalesce(reference_number_column(v).cast("string"), bare(v))
+    artifacts = F.filter(F.transform(F.regexp_extract_all(t, F.lit(ARTIFACT), F.lit(1)), bare), lambda v: F.length(v) >= 3)
 
-        return rows.withColumn("references", F.array_sort(F.array_distinct(F.concat(artifacts, family("figure", FIGURE), family("plate", PLATE)))))
-    # numerals go through one Arrow function for the whole text
-    return rows.withColumn("references", F.array_sort(F.array_distinct(F.concat(artifacts, _references(t)))))
+    def family(kind: str, pattern: str) -> Column:
+        found = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("i"))
+        return F.transform(found, lambda x: F.concat(F.lit(f"{kind}:"), number(x["n"]), F.when(bare(x["i"]) != "", F.concat(F.lit(":"), number(x["i"]))).otherwise("")))
 
-
-def _references(text: Column) -> Column:
-    import re
-
-    from sondage.functions.numerals import reference_number
-
-    shapes = [(k, re.compile(p)) for k, p in (("figure", FIGURE), ("plate", PLATE))]
-
-    def each(s: pd.Series) -> pd.Series:
-        def one(v: str) -> list[str]:
-            out = []
-            for kind, shape in shapes:
-                for m in shape.finditer(v):
-                    n, i = reference_number(m[1]), reference_number(m[2])
-                    if n is not None:
-                        out.append(f"{kind}:{n}" + (f":{i}" if i is not None else ""))
-            return out
-
-        return s.map(one)
-
-    return F.pandas_udf(each, "array<string>")(text)
+    each = F.concat(F.transform(artifacts, lambda v: F.concat(F.lit("artifact:"), v)), family("figure", FIGURE), family("plate", PLATE))
+    return rows.withColumn("references", F.array_sort(F.array_distinct(each)))
 
 
 def exploded(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,9 +89,10 @@ def compatible(requested: DataFrame, pages: DataFrame) -> DataFrame:
 
 def recall(requested: DataFrame, pages: DataFrame, requested_pages: list[int], limit: int) -> DataFrame:
     """document_id, page, score, matches of the pages to read: a point per reference matched, half a point more for exact
-    ones, and the bonus of the page's type. ``pages``: document_id, page, page_type, references."""
+    ones, and the bonus of the page's type; figures and plates are looked for on pages with pictures only. ``pages``:
+    document_id, page, page_type, references."""
     own = pages.filter(~F.col("page").isin(requested_pages)) if requested_pages else pages
-    met = compatible(exploded(requested, []), exploded(own, ["document_id", "page", "page_type"]))
+    met = compatible(exploded(requested, []), exploded(own, ["document_id", "page", "page_type"])).filter((F.col("family") == "artifact") | F.col("page_type").isin(PICTURED))
     per = met.groupBy("document_id", "page", "page_type", "requested").agg(F.bool_or(F.col("requested") == F.col("reference")).alias("exact"))
     bonus = F.lit(0.0)
     for kind, value in TYPE_BONUS.items():
@@ -119,7 +102,7 @@ def recall(requested: DataFrame, pages: DataFrame, requested_pages: list[int], l
 
 
 def unresolved(requested: DataFrame, pages: DataFrame) -> DataFrame:
-    met = compatible(exploded(requested, []), exploded(pages, ["page"])).select(F.col("requested").alias("reference")).distinct()
+    met = compatible(exploded(requested, []), exploded(pages, ["page", "page_type"])).filter((F.col("family") == "artifact") | F.col("page_type").isin(PICTURED)).select(F.col("requested").alias("reference")).distinct()
     return exploded(requested, []).select("reference").distinct().join(met, "reference", "left_anti")
 
 
