@@ -18,7 +18,7 @@ EMPTY = ["", "-", "—", "－", "无", "none", "null", "nan"]
 # Unit words and what they become, in this order.
 UNIT_WORDS = [("厘米", "cm"), ("公分", "cm"), ("毫米", "mm"), ("米", "m")]
 # Numerals in figure and plate numbers.
-NUMERALS = "一二三四五六七八九十百〇零"
+NUMERALS = "一二三四五六七八九十百零〇"
 SPACE = r"(?U)\s+"
 
 
@@ -55,7 +55,7 @@ def canonical_id(context: Column, sequence: Column, normal: bool = False) -> Col
 
 def report_name(c: Column, normal: bool = False) -> Column:
     name = F.regexp_replace(_normal(c, normal), r"(?U)^\s+|\s+$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), SPACE, ""))
+    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), SPACE, "")), F.lit("ß"), F.lit("ss"))  # as case folding has it
 
 
 def sampling_id(c: Column, normal: bool = False) -> Column:
@@ -128,12 +128,14 @@ NUMBER = r"\d+(?:\.\d+)?"
 
 
 def measurements(c: Column, normal: bool = False) -> Column:
-    """array<struct<amount decimal, unit string>> in order; the unit is null where none follows the number."""
+    """array<struct<amount decimal, unit string, micro long>> in order; the unit is null where none follows the number, and micro
+    is the amount in millionths."""
     text = F.lower(F.coalesce(_normal(c.cast("string"), normal), F.lit("")))
     for word, unit in UNIT_WORDS[:3]:
         text = F.replace(text, F.lit(word), F.lit(unit))
     found = F.regexp_extract_all(text, F.lit(rf"({NUMBER}\s*(?:cm|mm|m)?)"), F.lit(1))
-    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, f"({NUMBER})", 1).cast("decimal(20,6)").alias("amount"), F.nullif(F.regexp_extract(m, "([a-z]+)$", 1), F.lit("")).alias("unit")))
+    amount = lambda m: F.regexp_extract(m, f"({NUMBER})", 1).cast("decimal(20,6)")
+    return F.transform(found, lambda m: F.struct(amount(m).alias("amount"), F.nullif(F.regexp_extract(m, "([a-z]+)$", 1), F.lit("")).alias("unit"), (amount(m) * 1_000_000).cast("long").alias("micro")))
 
 
 def in_cm(m: Column) -> Column:
@@ -152,15 +154,18 @@ def measurement_overlap(expected: Column, actual: Column) -> Column:
     """Share of expected measurements that find an actual one of their own, first come first served. Takes two columns of
     ``measurements``: units compare in cm, a missing unit compares bare numbers."""
 
+    def millimetres(m: Column) -> Column:
+        return m["micro"] * F.when(m["unit"] == "m", 1000).when(m["unit"] == "cm", 10).otherwise(1)
+
     def step(state: Column, e: Column) -> Column:
-        fits = F.transform(state["left"], lambda a: F.when(a["unit"].isNotNull() & e["unit"].isNotNull(), in_cm(a) == in_cm(e)).otherwise(a["amount"] == e["amount"]))
+        fits = F.transform(state["left"], lambda a: F.when(a["unit"].isNotNull() & e["unit"].isNotNull(), a["mm"] == millimetres(e)).otherwise(a["micro"] == e["micro"]))
         at = F.array_position(fits, True)
         rest = F.filter(state["left"], lambda _, i: i + 1 != at)
-        return F.struct(rest.alias("left"), (state["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"))
+        return F.struct(rest.alias("left"), (state["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"), (state["of"] + 1).alias("of"))
 
-    start = F.struct(actual.alias("left"), F.lit(0).alias("n"))
-    hits = F.aggregate(expected, start, step, lambda s: s["n"])
-    return F.when(F.size(expected) == 0, 0.0).otherwise(hits / F.size(expected))
+    left = F.transform(actual, lambda a: F.struct(a["unit"].alias("unit"), a["micro"].alias("micro"), millimetres(a).alias("mm")))
+    start = F.struct(left.alias("left"), F.lit(0).alias("n"), F.lit(0).alias("of"))
+    return F.aggregate(expected, start, step, lambda s: F.when(s["of"] == 0, 0.0).otherwise(s["n"] / s["of"]))
 
 
 # Words before a figure or plate number.

@@ -36,10 +36,11 @@ def field_results(joined: DataFrame, fields: list[str], *, normal: bool = False,
     keep = [c for c in joined.columns if c not in {*fields, "pred"}]
     each = F.array(*(F.struct(F.lit(f).alias("key"), F.col(f"pred.{f}").cast("string").alias("actual"), F.col(f).cast("string").alias("expected")) for f in fields))
     rows = joined.select(*keep, F.inline(each))
-    matched = compare_fields(rows.filter("match_status = 'matched'"), "key", "actual", "expected", normal=normal, exact_only=exact_only)
-    empty = F.trim(F.coalesce("expected", F.lit(""))) == ""
-    other = rows.filter("match_status <> 'matched'").select(*keep, "key", F.when(empty, "not_applicable").otherwise("not_evaluated").alias("verdict"), F.lit(0.0).alias("score"), F.lit(False).alias("exact"))
-    return matched.unionByName(other)
+    # one pass: what has no match is compared with nothing, and its verdict says so
+    met, empty = F.col("match_status") == "matched", F.trim(F.coalesce("expected", F.lit(""))) == ""
+    marked = rows.withColumn("__other", F.when(~met, F.when(empty, "not_applicable").otherwise("not_evaluated"))).withColumn("actual", F.when(met, F.col("actual"))).withColumn("expected", F.when(met, F.col("expected")))
+    out = compare_fields(marked, "key", "actual", "expected", normal=normal, exact_only=exact_only)
+    return out.select(*keep, "key", F.coalesce("__other", "verdict").alias("verdict"), F.when(F.col("__other").isNull(), F.col("score")).otherwise(0.0).alias("score"), (F.col("__other").isNull() & F.col("exact")).alias("exact"))
 
 
 def field_metrics(results: DataFrame, fields: list[str]) -> DataFrame:

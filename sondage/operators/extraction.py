@@ -114,7 +114,15 @@ def grounded(quote: str | None, text: str | None) -> str | None:
 
 
 def grounded_column(quote: Column, text: Column) -> Column:
-    return F.pandas_udf(lambda q, t: pd.Series([grounded(a, b) for a, b in zip(q, t, strict=True)], dtype=object), "string")(quote, text)
+    """``grounded`` as a column. A quote that stands as it is, or with other white space, punctuation or case, is found by
+    expressions; only what is left and not ASCII, where width may differ, is asked of Python."""
+    letters = F.regexp_extract_all(quote, F.lit(r"([\p{L}\p{N}])"), F.lit(1))
+    shape = F.concat(F.lit("(?iu)"), F.array_join(letters, r"[^\p{L}\p{N}]*"))
+    loose = F.when(F.size(letters) > 0, F.nullif(F.regexp_substr(text, shape), F.lit("")))
+    quick = F.when((quote == "") | (text == ""), F.lit(None)).when(F.contains(text, quote), quote).otherwise(loose)
+    rest = quick.isNull() & (quote.rlike(r"[^\x00-\x7F]") | text.rlike(r"[^\x00-\x7F]"))
+    slow = F.pandas_udf(lambda q, t: pd.Series([grounded(a, b) for a, b in zip(q, t, strict=True)], dtype=object), "string")
+    return F.coalesce(quick, slow(F.when(rest, quote), F.when(rest, text)))
 
 
 def candidate(text: Column, identifier: str, measure: str, descriptive: str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondage.session import shared_folder
+
 # Allowed moves of a run, and its last states.
 MOVES = {
     "queued": {"running", "cancelled", "failed"},
@@ -17,10 +17,10 @@ TERMINAL = ["completed", "completed_with_warnings", "failed", "cancelled", "term
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; where it is unset (tests) in a folder of its own."""
+    """A checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sondage-')}")
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

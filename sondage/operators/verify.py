@@ -16,8 +16,22 @@ SCOPES = {
 # Texts that count as empty here, and the shape of a measurement.
 EMPTY = ["", "无", "none", "null", "nan", "无记录"]
 MEASURE = r"(?i)\d+(?:\.\d+)?\s*(?:cm|mm|m|厘米|毫米|米|㎝|㎜)?"
-# Failure codes.
-CODES = ["crop_missing", "crop_wrong", "id_missing", "id_duplicate", "caption_missing", "caption_mismatch", "measurement_missing", "measurement_mismatch", "classification_missing", "relation_missing", "color_invalid", "evidence_missing", "text_mismatch"]
+# Failure codes, and what a field without a code counts as: where the code is read, and where it is given.
+CODES = [
+    "artifact_id_missing", "artifact_id_duplicate", "artifact_id_evidence_conflict", "sequence_crop_conflict", "figure_caption_missing", "figure_caption_evidence_conflict", "color_plate_relation_conflict",
+    "artifact_crop_missing", "text_evidence_conflict", "structured_measurements_error", "structured_classification_error", "structured_field_evidence_conflict",
+]
+FIELD_CODES = {
+    "artifact_crop": "artifact_crop_missing", "sequence_crop_relation": "sequence_crop_conflict", "figure": "figure_caption_missing", "figure_caption": "figure_caption_evidence_conflict",
+    "measurements": "structured_measurements_error", "classification": "structured_classification_error", "text_evidence": "text_evidence_conflict", "color_plate_relation": "color_plate_relation_conflict",
+}
+MODEL_FIELD_CODES = {
+    "identifier": "artifact_id_evidence_conflict", "artifact_id": "artifact_id_evidence_conflict", "sequence_crop_relation": "sequence_crop_conflict", "number_crop_relation": "sequence_crop_conflict",
+    "figure": "figure_caption_evidence_conflict", "figure_caption": "figure_caption_evidence_conflict", "caption": "figure_caption_evidence_conflict", "color_plate_relation": "color_plate_relation_conflict",
+    "artifact_crop": "artifact_crop_missing", "text_evidence": "text_evidence_conflict", "measurements": "structured_measurements_error", "classification": "structured_classification_error",
+}
+RULE_CODES = {"figure": "figure_caption_missing", "measurements": "structured_measurements_error", "classification": "structured_classification_error"}
+OTHER_MODEL_CODE = "structured_field_evidence_conflict"
 UNCLASSIFIED = "unclassified_failure"
 BUCKETS = [(0.85, "high"), (0.60, "medium")]
 
@@ -93,26 +107,57 @@ def run_totals(items: DataFrame) -> DataFrame:
 
 
 def confusion(items: DataFrame) -> DataFrame:
-    """Human against machine: a true positive is a failure both saw; uncertain and unreviewed items do not count."""
+    """Human against machine: a true positive is a failure both saw; uncertain and unreviewed items do not count. Rates have four
+    places, null where nothing can be divided; the pass rate is the human's alone."""
     h, m = F.col("human"), F.col("machine")
-    known = items.filter(h.isin("passed", "failed") & m.isin("passed", "failed"))
-    n = known.agg(*(F.count_if((h == a) & (m == b)).alias(name) for name, a, b in (("tp", "failed", "failed"), ("fn", "failed", "passed"), ("fp", "passed", "failed"), ("tn", "passed", "passed"))))
+    n = items.agg(*(F.count_if((h == a) & (m == b)).alias(name) for name, a, b in (("tp", "failed", "failed"), ("fn", "failed", "passed"), ("fp", "passed", "failed"), ("tn", "passed", "passed"))), F.count_if(h == "passed").alias("pass_count"), F.count_if(h == "failed").alias("fail_count"))
     tp, fn, fp, tn = map(F.col, ("tp", "fn", "fp", "tn"))
     total = tp + fn + fp + tn
     rate = {"coverage": (tp, tp + fn), "precision": (tp, tp + fp), "alignment": (tp + tn, total), "review_load": (tp + fp, total), "false_positive_rate": (fp, tn + fp), "false_negative_rate": (fn, tp + fn)}
-    return n.select("*", total.alias("compared"), *(F.try_divide(a, b).alias(name) for name, (a, b) in rate.items()), F.coalesce(F.try_divide(tn + fn, total), F.lit(0.0)).alias("pass_rate"))
+    passed = F.try_divide("pass_count", F.col("pass_count") + F.col("fail_count"))
+    return n.select("*", total.alias("compared"), *(F.round(F.try_divide(a, b), 4).alias(name) for name, (a, b) in rate.items()), F.round(F.coalesce(passed, F.lit(0.0)), 4).alias("pass_rate"))
 
 
-def failure_code(c: Column) -> Column:
-    return F.when(c.isin(CODES), c).otherwise(UNCLASSIFIED)
+def _mapped(c: Column, values: dict[str, str], other: Column) -> Column:
+    out = other
+    for name, value in values.items():
+        out = F.when(c == name, value).otherwise(out)
+    return out
+
+
+def failure_code(code: Column, field: Column, reason: Column) -> Column:
+    """The code of a failed field: its own if it is one, else what its field stands for; never read from wording, but for
+    identifiers, where a reason says whether one is repeated."""
+    code, field = F.trim(F.coalesce(code, F.lit(""))), F.lower(F.trim(F.coalesce(field, F.lit(""))))
+    repeated = F.when(F.contains(F.coalesce(reason, F.lit("")), F.lit("重复")), "artifact_id_duplicate").otherwise("artifact_id_missing")
+    return F.when(code.isin([*CODES, UNCLASSIFIED]), code).when(field == "identifier", repeated).otherwise(_mapped(field, FIELD_CODES, F.lit(UNCLASSIFIED)))
+
+
+def rule_result(scope: Column, verdict: Column, reason: Column) -> Column:
+    """What a rule's check says in a card's results: field, verdict, failure_code, method, causes_overall_failure."""
+    code = F.when(scope == "identifier", F.when(F.contains(reason, F.lit("重复")), "artifact_id_duplicate").otherwise("artifact_id_missing")).otherwise(_mapped(scope, RULE_CODES, F.lit(None).cast("string")))
+    return F.struct(scope.alias("field"), verdict.alias("verdict"), code.alias("failure_code"), F.lit("rule_heuristic").alias("method"), (verdict == "failed").alias("causes_overall_failure"))
+
+
+def model_result(field: Column, verdict: Column, code: Column, causes: Column, overall: Column) -> Column:
+    """A model's finding on a field, held to known verdicts and codes. It is a cause only where the card failed and the field
+    did; what it says otherwise is kept as a doubt. ``causes`` is text, null where the model said nothing."""
+    said = F.lower(F.coalesce(verdict, F.lit("uncertain")))
+    said = F.when(said.isin("passed", "failed", "uncertain"), said).otherwise("uncertain")
+    failed = (overall == "failed") & (said == "failed")
+    known = F.trim(F.coalesce(code, F.lit("")))
+    given = F.when(known.isin(CODES), known).otherwise(_mapped(F.lower(F.trim(F.coalesce(field, F.lit("")))), MODEL_FIELD_CODES, F.lit(OTHER_MODEL_CODE)))
+    cause = failed & F.when(causes.isNull(), failed).otherwise(F.lower(F.trim(causes)) == "true")
+    return F.struct(field.alias("field"), said.alias("verdict"), given.alias("failure_code"), F.lit("semantic_llm").alias("method"), cause.alias("causes_overall_failure"))
 
 
 def failure_distribution(items: DataFrame) -> DataFrame:
     """code, count over distinct (record, code) of failed cards; only fields that failed and caused it count, and a card
-    without any counts as unclassified. ``items``: record_id, verdict, field_results."""
+    without any counts as unclassified. ``items``: record_id, verdict, field_results (field, verdict, failure_code, reason,
+    causes_overall_failure)."""
     failed = items.filter("verdict = 'failed'")
     causal = F.filter("field_results", lambda r: (r["verdict"] == "failed") & F.coalesce(r["causes_overall_failure"], F.lit(False)))
-    codes = F.array_distinct(F.transform(causal, lambda r: failure_code(r["failure_code"])))
+    codes = F.array_distinct(F.transform(causal, lambda r: failure_code(r["failure_code"], r["field"], r["reason"])))
     own = failed.select("record_id", F.explode(F.when(F.size(F.coalesce(codes, F.array())) > 0, codes).otherwise(F.array(F.lit(UNCLASSIFIED)))).alias("code"))
     return own.distinct().groupBy("code").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "code")
 
@@ -124,10 +169,118 @@ def review_required(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if((v == "passed") & F.coalesce(doubtful, F.lit(False))).alias("passed_with_doubt"), F.count_if(v == "failed").alias("failed"))
 
 
-def consensus(human: Column, machine: Column) -> Column:
-    """Label of a pair of verdicts; a machine row that is missing counts as uncertain."""
-    m = F.coalesce(machine, F.lit("uncertain"))
-    return F.when(~human.isin("passed", "failed"), "unreviewed").when(m == "uncertain", "uncertain").when(human == m, "agree").when(human == "failed", "missed_failure").otherwise("false_alarm")
+def consensus(human: Column, machine: Column, benchmark: Column | None = None) -> Column:
+    """agreed where the machine passed or failed a card as the human did, else conflict (uncertain and missing verdicts too);
+    benchmark_unavailable where the benchmark was to be asked and could not."""
+    agreed = F.coalesce(machine.isin("passed", "failed") & (human == machine), F.lit(False))
+    out = F.when(agreed, "agreed").otherwise("conflict")
+    return out if benchmark is None else F.when(benchmark == "unavailable", "benchmark_unavailable").otherwise(out)
+
+
+def sample_consensus(sample: DataFrame, machine: DataFrame) -> DataFrame:
+    """The fixed sample with the machine's blind verdicts: record_id, verdict, ai_verdict, ai_confidence, model_unavailable,
+    consensus_status (null where the machine has no row: uncertain, and unavailable). Human columns stay."""
+    found = machine.select("record_id", F.coalesce("verdict", F.lit("uncertain")).alias("ai_verdict"), F.coalesce("confidence", F.lit(0.0)).alias("ai_confidence"), F.lit(True).alias("__met"))
+    joined = sample.join(found, "record_id", "left")
+    met = F.coalesce("__met", F.lit(False))
+    return joined.select(*sample.columns, F.coalesce("ai_verdict", F.lit("uncertain")).alias("ai_verdict"), F.coalesce("ai_confidence", F.lit(0.0)).alias("ai_confidence"), (~met).alias("model_unavailable"), F.when(met, consensus(F.col("verdict"), F.col("ai_verdict"))).alias("consensus_status"))
+
+
+HUMAN = ["verdict", "reviewed_at", "failure_code", "failure_reason"]
+
+
+def merged_results(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Items with the columns of a run's results over their own, but for the four columns a human filled; items without a result
+    stay as they are."""
+    new = [c for c in results.columns if c in items.columns and c not in (*HUMAN, "record_id")]
+    taken = results.select("record_id", F.struct(*new).alias("__new"))
+    return items.join(taken, "record_id", "left").select(*(F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns))
+
+
+def rechecked(previous: DataFrame, machine: DataFrame) -> DataFrame:
+    """The last version's items with another run's machine columns: human columns are carried on, what the first review's
+    model said is cleared and consensus is pending. Cards that the run has not seen have no machine verdict."""
+    found = machine.select("record_id", F.col("verdict").alias("__v"), F.col("confidence").alias("__c"), F.substring(F.coalesce("reason", F.lit("")), 1, 1000).alias("__r"))
+    joined = previous.join(found, "record_id", "left")
+    fresh = {"machine_verdict": F.col("__v"), "machine_confidence": F.col("__c"), "machine_reason": F.coalesce("__r", F.lit("")), "ai_verdict": F.lit(None).cast("string"), "consensus_status": F.lit("pending")}
+    return joined.select(*(c for c in previous.columns if c not in fresh), *(v.alias(k) for k, v in fresh.items()))
+
+
+def profiles(records: DataFrame, relations: DataFrame, regions: DataFrame, checks: DataFrame) -> DataFrame:
+    """record_id, expected_label, primary_page, confidence_bucket, matching_method, page_scope, has_color_plate, tags of records
+    (record_id, entity_confidence, source_pages, associated_pages, relation_ids, region_ids).
+
+    Without an entity's confidence the least score of a record's relations counts. ``checks`` are those of ``check_rules``.
+    """
+    via = records.select("record_id", F.explode(F.array_distinct("relation_ids")).alias("id")).join(relations.select("id", "score", "method"), "id")
+    linked = via.groupBy("record_id").agg(F.min("score").alias("__score"), F.collect_set("method").alias("__methods"))
+    plates = records.select("record_id", F.explode("region_ids").alias("id")).join(regions.filter("kind = 'color_plate'").select("id").distinct(), "id").select("record_id").distinct().withColumn("__plate", F.lit(True))
+    ruled = checks.groupBy("record_id").agg(F.min(F.col("verdict") == "passed").alias("__good"), F.array_sort(F.collect_set(F.concat(F.lit("rule:"), "scope", F.when(F.col("verdict") == "passed", ":covered").otherwise(":issue")))).alias("__rules"))
+    joined = records.join(linked, "record_id", "left").join(plates, "record_id", "left").join(ruled, "record_id", "left")
+    pages = lambda c: F.filter(F.coalesce(c, F.array().cast("array<int>")), lambda p: p > 0)
+    source, other = pages(F.col("source_pages")), pages(F.col("associated_pages"))
+    out = joined.select(
+        "record_id",
+        F.when(F.coalesce("__good", F.lit(False)), "correct").otherwise("incorrect").alias("expected_label"),
+        F.coalesce(F.array_min(source), F.array_min(other), F.lit(0)).alias("primary_page"),
+        confidence_bucket(F.coalesce("entity_confidence", "__score", F.lit(0.0))).alias("confidence_bucket"),
+        method_class(F.coalesce("__methods", F.array().cast("array<string>"))).alias("matching_method"),
+        F.when(F.size(F.array_except(other, source)) > 0, "cross_page").otherwise("same_page").alias("page_scope"),
+        F.coalesce("__plate", F.lit(False)).alias("has_color_plate"),
+        F.coalesce("__rules", F.array(F.lit("rule:general:covered"))).alias("__rules"),
+    )
+    tag = lambda name, c: F.concat(F.lit(f"{name}:"), c)
+    tags = F.concat(F.array(tag("expected", F.col("expected_label")), tag("confidence", F.col("confidence_bucket")), tag("method", F.col("matching_method")), tag("scope", F.col("page_scope")), tag("color", F.when(F.col("has_color_plate"), "present").otherwise("absent"))), F.col("__rules"))
+    return out.withColumn("tags", tags).drop("__rules")
+
+
+def visual_context(records: DataFrame, regions: DataFrame, relations: DataFrame) -> DataFrame:
+    """Per record what pictures it has: flags by the kinds of its regions (unknown ones are other), the number of its relations
+    and their types."""
+    own = records.select("record_id", F.explode(F.array_distinct("region_ids")).alias("id")).join(regions.select("id", "kind"), "id", "left")
+    kinds = own.groupBy("record_id").agg(F.array_sort(F.collect_set(F.coalesce("kind", F.lit("other")))).alias("region_kinds"))
+    via = records.select("record_id", F.explode("relation_ids").alias("id")).join(relations.select("id", "relation_type"), "id")
+    types = via.groupBy("record_id").agg(F.count("*").alias("relation_count"), F.array_sort(F.collect_set(F.nullif("relation_type", F.lit("")))).alias("relation_types"))
+    none = F.array().cast("array<string>")
+    joined = records.select("record_id").join(kinds, "record_id", "left").join(types, "record_id", "left")
+    joined = joined.withColumns({"region_kinds": F.coalesce("region_kinds", none), "relation_types": F.coalesce("relation_types", none), "relation_count": F.coalesce("relation_count", F.lit(0))})
+    has = lambda *k: F.arrays_overlap("region_kinds", F.array(*map(F.lit, k)))
+    return joined.select("record_id", has("artifact", "line_drawing").alias("artifact_crop_present"), has("color_plate").alias("color_plate_present"), has("caption").alias("caption_present"), has("number").alias("number_present"), "relation_count", "relation_types", "region_kinds")
+
+
+def evidence_quotes(evidence: DataFrame, most: int = 5) -> DataFrame:
+    """record_id, key, quotes: the first quotes that say something, per field. ``evidence``: record_id, key, pos, quote."""
+    some = evidence.withColumn("quote", F.trim("quote")).filter("quote <> ''")
+    return some.groupBy("record_id", "key").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("pos", "quote"))), 1, most), lambda x: x["quote"]).alias("quotes"))
+
+
+def judged(checks: Column, context: Column, findings: Column, overall: Column, most: int = 50) -> Column:
+    """A card's results in order: rule checks, whether it has a crop, whether it has relations, then the model's findings; the
+    first ``most``. ``checks``: array of scope, verdict, reason; ``findings``: array of field, verdict, failure_code, causes."""
+    fixed = lambda field, verdict, code, method, cause: F.struct(F.lit(field).alias("field"), verdict.alias("verdict"), F.lit(code).cast("string").alias("failure_code"), F.lit(method).alias("method"), cause.alias("causes_overall_failure"))
+    crop, linked = context["artifact_crop_present"], context["relation_count"] > 0
+    presence = F.array(fixed("artifact_crop", F.when(crop, "passed").otherwise("failed"), "artifact_crop_missing", "deterministic_presence", ~crop), fixed("evidence_relation_chain", F.when(linked, "passed").otherwise("uncertain"), None, "deterministic_relation_presence", F.lit(False)))
+    rules = F.transform(checks, lambda c: rule_result(c["scope"], c["verdict"], c["reason"]))
+    model = F.transform(findings, lambda f: model_result(f["field"], f["verdict"], f["failure_code"], f["causes"], overall))
+    return F.slice(F.concat(rules, presence, model), 1, most)
+
+
+def next_version(versions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per job (job_id, baseline asked for) the version a run would make and whether it may: the first takes baseline v1, the
+    second v2, and later ones are refused."""
+    last = versions.groupBy("job_id").agg(F.max("version").alias("__last"))
+    target = F.coalesce("__last", F.lit(0)) + 1
+    due = F.when(target == 1, "v1").when(target == 2, "v2")
+    return jobs.join(last, "job_id", "left").select("job_id", target.alias("target_version"), F.when(due.isNull(), "no_baseline").when(F.col("baseline") == due, "allowed").otherwise("wrong_baseline").alias("gate"))
+
+
+def resettable(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per job what a reset of its first version does: nothing (there is none), or a refusal because of a later version, because
+    no machine run made it, or because the model was available for more than four fifths; else reset."""
+    per = versions.groupBy("job_id").agg(F.max("version").alias("__last"), F.max_by("run_id", F.when(F.col("version") == 1, 1)).alias("run_id"), F.bool_or(F.col("version") == 1).alias("__first"))
+    joined = per.join(runs.select("run_id", "total", "unavailable"), "run_id", "left")
+    broken = (F.coalesce("unavailable", F.lit(0)) > 0) & (F.coalesce("total", F.lit(0)) > 0) & (F.col("unavailable") * 5 >= F.col("total"))
+    return joined.select("job_id", F.when(~F.col("__first"), "nothing").when(F.col("__last") > 1, "later_version").when(F.col("run_id").isNull(), "no_run").when(broken, "reset").otherwise("no_outage").alias("outcome"))
 
 
 def balanced_sample(rows: DataFrame, size: int, seed: int, borrow: bool = False, label: str = "label", first: str = "correct", key: str = "record_id") -> DataFrame:

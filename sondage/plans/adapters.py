@@ -5,6 +5,8 @@ Each adapter has its SQL twin, a list of common table expressions to put after W
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ GOLD_FIELDS = ["status", "priority"]
 
 GOLD_SQL = """
 gold AS (SELECT o_orderkey AS gold_id, 'M' || o_custkey || ',' || month(o_orderdate) AS key, o_orderkey AS source_row,
-                o_orderstatus AS status, o_orderpriority AS priority FROM orders),
+                o_orderstatus AS status, translate(o_orderpriority, '12345', '１２３４５') AS priority FROM orders),
 pred AS (SELECT 'M' || (l_suppkey * 13) || ',' || month(l_shipdate) AS key, max(l_linestatus) AS status,
                 (1 + l_suppkey % 5) || '-URGENT' AS priority, count(*) AS n_lines, l_suppkey,
                 CASE WHEN l_suppkey % 7 = 0 THEN l_returnflag ELSE '' END AS variant
@@ -28,12 +30,17 @@ joined AS (SELECT g.*, coalesce(pc.n, 0) AS pred_count, gc.n AS gold_count, p_st
            FROM gold g JOIN gc ON g.key = gc.key LEFT JOIN pc ON g.key = pc.key)
 """
 
+#: What the ratio must be for the values that meet here.
+_PRIORITIES = [f"{i}{name}" for i, name in enumerate(["urgent", "high", "medium", "notspecified", "low"], 1)]
+_VALUES = [(f"{i}urgent", p) for i in range(1, 6) for p in _PRIORITIES] + [(a, b) for a in "fo" for b in "fop"]
+_RATIOS = "CASE ca || '|' || ce " + " ".join(f"WHEN '{a}|{b}' THEN {SequenceMatcher(None, a, b).ratio()!r}" for a, b in _VALUES) + " END"
+
 RESULTS_SQL = GOLD_SQL + """,
 pairs AS (SELECT gold_id, match_status, 'status' AS key, p_status AS a, status AS e FROM joined
           UNION ALL SELECT gold_id, match_status, 'priority', p_priority, priority FROM joined),
-compact AS (SELECT *, lower(regexp_replace(coalesce(a, ''), '[^0-9A-Za-z.]+', '', 'g')) AS ca, lower(regexp_replace(coalesce(e, ''), '[^0-9A-Za-z.]+', '', 'g')) AS ce FROM pairs),
+compact AS (SELECT *, lower(regexp_replace(coalesce(a, ''), '[^0-9A-Za-z.]+', '', 'g')) AS ca, lower(regexp_replace(translate(coalesce(e, ''), '１２３４５', '12345'), '[^0-9A-Za-z.]+', '', 'g')) AS ce FROM pairs),
 scored AS (SELECT *, CASE WHEN ca = ce THEN 1.0 WHEN ca = '' OR ce = '' THEN 0.0 WHEN contains(ca, ce) OR contains(ce, ca)
-                     THEN greatest(0.9, least(length(ca), length(ce)) / greatest(length(ca), length(ce))) ELSE 0.0 END::DOUBLE AS s FROM compact),
+                     THEN greatest(0.9, least(length(ca), length(ce)) / greatest(length(ca), length(ce))) ELSE """ + _RATIOS + """ END::DOUBLE AS s FROM compact),
 results AS (SELECT gold_id, key, CASE WHEN match_status <> 'matched' THEN CASE WHEN trim(coalesce(e, '')) = '' THEN 'not_applicable' ELSE 'not_evaluated' END
                    WHEN ce = '' THEN 'not_applicable' WHEN ca = '' THEN 'missing' WHEN s >= 0.85 THEN 'matched' ELSE 'mismatched' END AS verdict,
                    CASE WHEN match_status <> 'matched' OR ce = '' OR ca = '' THEN 0.0 ELSE s END::DOUBLE AS score,
@@ -43,7 +50,7 @@ results AS (SELECT gold_id, key, CASE WHEN match_status <> 'matched' THEN CASE W
 
 def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat(F.lit("M"), F.col("o_custkey").cast("string"), F.lit(":"), F.month("o_orderdate").cast("string"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("gold_id"), identifier(key, True).alias("key"), F.col("o_orderkey").alias("source_row"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("gold_id"), identifier(key, True).alias("key"), F.col("o_orderkey").alias("source_row"), F.col("o_orderstatus").alias("status"), F.translate("o_orderpriority", "12345", "１２３４５").alias("priority"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,6 +60,14 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select(identifier(key, True).alias("key"), "status", F.concat((1 + F.col("l_suppkey") % 5).cast("string"), F.lit("-URGENT")).alias("priority"), "n_lines", "l_suppkey", "variant")
 
 
+#: Line items by order and number, which the table may hold more than once.
+LINES_SQL = """li AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)"""
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")))
+
+
 #: Regions on pages: a part is a region; its page, kind and box follow from its key.
 REGIONS_SQL = """
 regions AS (SELECT p_partkey AS ord, 'r' || p_partkey AS id, (p_partkey // 20)::INTEGER AS page,
@@ -114,8 +129,8 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     copies = docs.groupBy("digest").agg((F.count("*") > 1).alias("copy"))
     rows = docs.join(labels, "record_id", "left").join(copies, "digest", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     verdict = lambda bad: F.when(F.col(bad), "failed").otherwise("passed")
-    field = lambda name, v, code, causes: F.struct(F.lit(name).alias("field"), v.alias("verdict"), F.lit(code).alias("failure_code"), causes.alias("causes_overall_failure"))
-    results = F.array(field("text", verdict("short"), "text_mismatch", F.col("short")), field("identifier", verdict("copy"), "id_duplicate", F.col("copy") & (F.col("record_id") % 2 == 0)), field("layout", F.when(F.col("odd"), "uncertain").otherwise("passed"), "crop_wrong", F.lit(False)))
+    field = lambda name, v, code, reason, causes: F.struct(F.lit(name).alias("field"), v.alias("verdict"), F.lit(code).alias("failure_code"), F.lit(reason).alias("reason"), causes.alias("causes_overall_failure"))
+    results = F.array(field("text", verdict("short"), "text_evidence_conflict", "", F.col("short")), field("identifier", verdict("copy"), "", "编号重复", F.col("copy") & (F.col("record_id") % 2 == 0)), field("layout", F.when(F.col("odd"), "uncertain").otherwise("passed"), "artifact_crop_missing", "", F.lit(False)))
     machine = F.when(F.col("short") | F.col("copy"), "failed").when(F.col("odd"), "uncertain").otherwise("passed")
     human = F.when(F.col("quality") == 1, "passed").when(F.col("quality") == 0, "failed")
     return rows.select("record_id", "source", "lang", human.alias("human"), F.col("quality").isNull().alias("model_unavailable"), "short", "copy", "odd", machine.alias("machine"), results.alias("field_results"))

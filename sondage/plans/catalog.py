@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from sondage.functions import numerals
 from sondage.functions.text import bucket, category, post_process, stable_hash, token_estimate
 from sondage.operators import catalog, entity, extraction, state
 from sondage.plans.registry import query
-from sondage.session import table
+from sondage.session import shared_folder, table
 from sondage.streaming import feeds
 
 Frame = DataFrame
@@ -102,9 +100,9 @@ def search_items(spark: SparkSession, sf: str) -> Frame:
     return catalog.search(table(spark, sf, "documents"), "Licensed ", ["text", "source", "lang"]).select("doc_id")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_brand), '[\\s,.:;_/-]+', '', 'g'), 'brand12')")
+@query("SELECT p_partkey FROM part WHERE p_name = 'small ring'")
 def search_ids(spark: SparkSession, sf: str) -> Frame:
-    return catalog.search_ids(table(spark, sf, "part"), "brand-12", "p_brand").select("p_partkey")
+    return catalog.search_ids(table(spark, sf, "part"), "Small-RING", "p_name").select("p_partkey")
 
 
 @query("SELECT event_id, ts FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)")
@@ -148,11 +146,12 @@ def token_estimates(spark: SparkSession, sf: str) -> Frame:
     return table(spark, sf, "documents").select("doc_id", token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("""SELECT d.doc_id, substr(d.text, 1, 40) AS quote FROM documents d""")
+@query(r"""WITH q AS (SELECT doc_id, regexp_replace(substr(text, 1 + length(text) // 2, 60), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS q FROM documents) SELECT doc_id, nullif(q, '') AS quote FROM q""")
 def quote_grounding(spark: SparkSession, sf: str) -> Frame:
-    """The first forty characters of each text, asked for as they stand: their slice is themselves."""
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("quote"), "text")
-    return rows.select("doc_id", extraction.grounded_column(F.col("quote"), F.col("text")).alias("quote"))
+    """Sixty characters from the middle of each text, asked for with other spaces and points between the words: found in the whole
+    text, they come back as they stand there, from the first letter to the last."""
+    rows = table(spark, sf, "documents").select("doc_id", F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(60)).alias("quote"), "text")
+    return rows.select("doc_id", extraction.grounded_column(F.regexp_replace("quote", r"[^\p{L}\p{N}]+", " -- "), F.col("text")).alias("quote"))
 
 
 @query("""WITH n AS (SELECT o_orderkey, o_custkey, o_orderstatus || '*' AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 2 = 0)
@@ -170,9 +169,10 @@ def keyed_upsert(spark: SparkSession, sf: str) -> Frame:
     return state.upsert(old, hit.unionByName(hit.withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"])
 
 
-@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = e.event_id)")
+@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey * 3 = e.event_id)")
 def resume_unprocessed(spark: SparkSession, sf: str) -> Frame:
-    done = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"))
+    """SS3, SS5: every third event was done before."""
+    done = table(spark, sf, "orders").select((F.col("o_orderkey") * 3).alias("event_id"))
     return state.unprocessed(table(spark, sf, "events").select("event_id"), done, "event_id")
 
 
@@ -192,33 +192,19 @@ def _stream(spark: SparkSession, sf: str) -> Frame:
     return feeds.stream(spark, sf, table(spark, sf, "events").schema, glob="events.parquet")
 
 
-def _fresh() -> tuple[str, str]:
-    import uuid
-
-    return f"feed_{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="sondage-feed-")
-
-
-def _checkpoint(spark: SparkSession, name: str, local: str) -> str:
-    """In the shared folder where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}" if shared else local
-
-
 @query("SELECT user_id, count(*)::BIGINT AS n_events, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) AS last_value FROM events GROUP BY user_id")
 def stream_job_events(spark: SparkSession, sf: str) -> Frame:
     """The state of each job from its events, read as a stream until all that is there has been taken."""
-    name, local = _fresh()
     rows = feeds.latest_state(_stream(spark, sf), "user_id", "ts", "event_id", "event_type")
-    return feeds.run_to_end(rows, name, _checkpoint(spark, name, local))
+    return feeds.run_to_end(rows, shared_folder(spark, "feed"))
 
 
 @query("SELECT event_id, event_type FROM events")
 def stream_idempotent_jobs(spark: SparkSession, sf: str) -> Frame:
     """Each key once, though every event arrives twice."""
-    name, local = _fresh()
     rows = _stream(spark, sf).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     once = feeds.deduplicated(rows, "event_id", "ts").select("event_id", "event_type")
-    return feeds.run_to_end(once, name, _checkpoint(spark, name, local), mode="append")
+    return feeds.run_to_end(once, shared_folder(spark, "feed"), mode="append")
 
 
 @query("""SELECT doc_id, '{"chars": ' || length(lang || ' ' || source) || ', "words": 2}' AS answer FROM documents""")

@@ -28,7 +28,7 @@ def eval_unmatched_predictions(spark: SparkSession, sf: str) -> Frame:
 
 def _results(spark: SparkSession, sf: str) -> Frame:
     joined = human_left_join(gold_rows(spark, sf), predictions(spark, sf).select("key", *GOLD_FIELDS))
-    return field_results(joined.withColumnRenamed("key", "join_key"), GOLD_FIELDS, normal=True, exact_only=True)
+    return field_results(joined.withColumnRenamed("key", "join_key"), GOLD_FIELDS)
 
 
 _METRICS = """,
@@ -58,7 +58,7 @@ SELECT (SELECT count(*) FROM joined)::BIGINT AS gold_rows, (SELECT count(*) FROM
 def eval_summary(spark: SparkSession, sf: str) -> Frame:
     gold, pred = gold_rows(spark, sf), predictions(spark, sf)
     joined = human_left_join(gold, pred.select("key", *GOLD_FIELDS))
-    metrics = field_metrics(field_results(joined.withColumnRenamed("key", "join_key"), GOLD_FIELDS, normal=True, exact_only=True), GOLD_FIELDS)
+    metrics = field_metrics(field_results(joined.withColumnRenamed("key", "join_key"), GOLD_FIELDS), GOLD_FIELDS)
     return evaluate.summary(joined, metrics, pred.filter("key <> ''"), full_document=True)
 
 
@@ -136,14 +136,14 @@ def detect_metrics(spark: SparkSession, sf: str) -> Frame:
 
 
 @query(f"""WITH {ITEMS_SQL}, n AS (SELECT count(*) FILTER (human = 'failed' AND machine = 'failed') AS tp, count(*) FILTER (human = 'failed' AND machine = 'passed') AS fn,
-       count(*) FILTER (human = 'passed' AND machine = 'failed') AS fp, count(*) FILTER (human = 'passed' AND machine = 'passed') AS tn FROM items)
-SELECT tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, tn::BIGINT AS tn, (tp + fn + fp + tn)::BIGINT AS compared, tp / nullif(tp + fn, 0) AS coverage, tp / nullif(tp + fp, 0) AS precision, (tp + tn) / nullif(tp + fn + fp + tn, 0) AS alignment,
-       (tp + fp) / nullif(tp + fn + fp + tn, 0) AS review_load, fp / nullif(tn + fp, 0) AS false_positive_rate, fn / nullif(tp + fn, 0) AS false_negative_rate, coalesce((tn + fn) / nullif(tp + fn + fp + tn, 0), 0.0) AS pass_rate FROM n""")
+       count(*) FILTER (human = 'passed' AND machine = 'failed') AS fp, count(*) FILTER (human = 'passed' AND machine = 'passed') AS tn, count(*) FILTER (human = 'passed') AS p, count(*) FILTER (human = 'failed') AS f FROM items)
+SELECT tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, tn::BIGINT AS tn, p::BIGINT AS pass_count, f::BIGINT AS fail_count, (tp + fn + fp + tn)::BIGINT AS compared, round(tp / nullif(tp + fn, 0), 4) AS coverage, round(tp / nullif(tp + fp, 0), 4) AS precision, round((tp + tn) / nullif(tp + fn + fp + tn, 0), 4) AS alignment,
+       round((tp + fp) / nullif(tp + fn + fp + tn, 0), 4) AS review_load, round(fp / nullif(tn + fp, 0), 4) AS false_positive_rate, round(fn / nullif(tp + fn, 0), 4) AS false_negative_rate, round(coalesce(p / nullif(p + f, 0), 0.0), 4) AS pass_rate FROM n""")
 def confusion_matrix(spark: SparkSession, sf: str) -> Frame:
     return verify.confusion(items(spark, sf))
 
 
-@query(f"""WITH {ITEMS_SQL}, c AS (SELECT record_id, 'text_mismatch' AS code FROM items WHERE machine = 'failed' AND short UNION SELECT record_id, 'id_duplicate' FROM items WHERE machine = 'failed' AND copy AND record_id % 2 = 0
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT record_id, 'text_evidence_conflict' AS code FROM items WHERE machine = 'failed' AND short UNION SELECT record_id, 'artifact_id_duplicate' FROM items WHERE machine = 'failed' AND copy AND record_id % 2 = 0
   UNION SELECT record_id, 'unclassified_failure' FROM items WHERE machine = 'failed' AND NOT short AND NOT (copy AND record_id % 2 = 0))
 SELECT code, count(*)::BIGINT AS count FROM c GROUP BY code""")
 def failure_distribution(spark: SparkSession, sf: str) -> Frame:
@@ -166,9 +166,9 @@ def outage_gate(spark: SparkSession, sf: str) -> Frame:
     return verify.run_totals(items(spark, sf).withColumn("verdict", F.col("machine")))
 
 
-@query(f"""WITH {ITEMS_SQL} SELECT record_id, CASE WHEN coalesce(human, '') NOT IN ('passed', 'failed') THEN 'unreviewed' WHEN machine = 'uncertain' THEN 'uncertain' WHEN human = machine THEN 'agree' WHEN human = 'failed' THEN 'missed_failure' ELSE 'false_alarm' END AS consensus FROM items""")
+@query(f"""WITH {ITEMS_SQL} SELECT record_id, CASE WHEN model_unavailable THEN 'benchmark_unavailable' WHEN machine IN ('passed', 'failed') AND human = machine THEN 'agreed' ELSE 'conflict' END AS consensus FROM items""")
 def consensus(spark: SparkSession, sf: str) -> Frame:
-    return items(spark, sf).select("record_id", verify.consensus(F.coalesce("human", F.lit("")), F.col("machine")).alias("consensus"))
+    return items(spark, sf).select("record_id", verify.consensus(F.col("human"), F.col("machine"), F.when(F.col("model_unavailable"), "unavailable")).alias("consensus"))
 
 
 _CARDS = """

@@ -24,14 +24,23 @@ def latest_state(events: DataFrame, by: str, at: str, tie: str, value: str) -> D
     return events.groupBy(by).agg(F.count("*").alias("n_events"), F.max(at).alias("last_at"), F.max_by(value, F.struct(at, tie)).alias("last_value"))
 
 
-def run_to_end(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Takes all that has arrived, in as many batches as it comes, and returns the resulting table."""
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(rows: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Takes all that has arrived, in as many batches as it comes, and returns the resulting table, which lies in ``folder`` beside
+    the checkpoint: a batch that runs again replaces its own files, and no row passes through the driver."""
+    spark, schema, done = rows.sparkSession, rows.schema, []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        path = f"{folder}/batch-{epoch:08d}"
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return rows.sparkSession.table(name)
+    kept = done[-1:] if mode == "complete" else done
+    return spark.read.schema(schema).parquet(*kept) if kept else spark.createDataFrame([], schema)
 
 
 def upsert_to(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
