@@ -19,3 +19,13 @@ def query(sql: str | None = None):
         return function
 
     return register
+
+
+def keyed_query(sql: str):
+    """As ``query``, with line items that are unique by order and number in place of the table."""
+    from sondage.plans.adapters import LINES_SQL
+
+    if "lineitem" in sql:
+        sql = sql.strip().replace("FROM lineitem", "FROM li").replace("JOIN lineitem", "JOIN li")
+        sql = f"WITH {LINES_SQL}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {LINES_SQL} {sql}"
+    return query(sql)
