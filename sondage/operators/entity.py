@@ -2,16 +2,18 @@
 
 Phase one joins records over artifact tokens alone: connected components of a bipartite graph, by large-star and
 small-star rounds over joins. Phase two attaches over figure and plate tokens, but never merges two components that both have artifact tokens and
-share none; that step depends on order and runs in one grouped function per job, over components instead of records.
+share none; that step depends on order and runs in a grouped function on each set of components that such tokens connect.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.text import entity_id_text, nfkc, stable_hash
+from sondage.operators.assign import per_group
+from sondage.operators.state import cut_lineage
 
 # How sure a link is, by the strongest token, and the kinds that can be shown.
 CONFIDENCE = {"artifact": 0.98, "reference": 0.92, "none": 0.45}
@@ -37,11 +39,24 @@ def record_tokens(ids: Column, figure: Column, figure_item: Column, plate: Colum
     return F.array_sort(F.array_distinct(F.concat(artifacts, F.array_compact(F.array(pair("figure", figure, figure_item), pair("plate", plate, plate_item))))))
 
 
+# A reference with its item, as hints write it.
+COMBINED = r"(?U)^(.+?)[\s:\x{FF1A}\-\x{2013}\x{2014}]+([A-Za-z0-9]+)$"
+
+
+def hint_tokens(figures: Column, plates: Column, normal: bool = False) -> Column:
+    """Tokens of a record's hints: references that name an item, of figures and of plates."""
+
+    def of(kind: str, refs: Column) -> Column:
+        split = F.filter(F.transform(F.coalesce(refs, F.array().cast("array<string>")), F.trim), lambda r: r.rlike(COMBINED))
+        parts = F.transform(split, lambda r: F.struct(plain(F.regexp_extract(r, COMBINED, 1), True).alias("a"), plain(F.regexp_extract(r, COMBINED, 2), True).alias("b")))
+        return F.transform(F.filter(parts, lambda p: (p["a"] != "") & (p["b"] != "")), lambda p: F.concat_ws(":", F.lit(kind), p["a"], p["b"]))
+
+    return F.array_sort(F.array_distinct(F.concat(of("figure", figures), of("plate", plates))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) over undirected links (a, b). Large-star and small-star steps by turns until
     the links stay as they are, however long a chain is; the plan is cut by a checkpoint."""
-    from sondage.operators.state import cut_lineage
-
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
     nodes = cut_lineage(ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct())
     now = cut_lineage(ends.filter("a <> b"))
@@ -60,16 +75,24 @@ def components(links: DataFrame) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """job_id, record_id, ord, tokens -> the same rows with ``group``: the record that stands for the entity.
 
-    Records without tokens stay alone. Tokens are taken in sorted order, records by ``ord``.
+    Records without tokens stay alone. Tokens are taken in sorted order, records by ``ord``. Parts that no figure or plate token
+    joins never meet, so phase two runs on each connected set of parts by itself, not on a job; parts without such tokens are
+    done after phase one.
     """
     keyed = records.select("job_id", "record_id", "ord", F.explode("tokens").alias("token"))
     key = lambda *c: F.concat_ws("\x1f", *c)
     exact = keyed.filter(F.col("token").startswith("artifact:")).select(key("job_id", F.lit("r"), "record_id").alias("a"), key("job_id", F.lit("t"), "token").alias("b"))
     roots = components(exact)
-    tagged = records.join(roots.withColumnRenamed("root", "part"), key("job_id", F.lit("r"), "record_id") == F.col("node"), "left").withColumn("part", F.coalesce("part", key("job_id", F.lit("r"), "record_id"))).drop("node")
-
-    def attach(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
+    own = key("job_id", F.lit("r"), "record_id")
+    tagged = cut_lineage(records.join(roots.withColumnRenamed("root", "part"), own == F.col("node"), "left").withColumn("part", F.coalesce("part", own)).select("job_id", "record_id", "ord", "tokens", "part"))
+    refers = tagged.select("job_id", "part", F.explode("tokens").alias("token")).filter(~F.col("token").startswith("artifact:"))
+    sets = components(refers.select(F.col("part").alias("a"), key("job_id", F.lit("t"), "token").alias("b"))).select(F.col("node").alias("part"), F.col("root").alias("set"))
+    joined = tagged.join(sets, "part", "left")
+    alone = joined.filter("set IS NULL")
+    first = alone.groupBy("part").agg(F.min_by("record_id", F.struct("ord", "record_id")).alias("group"))
+    done = alone.join(first, "part").select("job_id", "record_id", "ord", "tokens", "group")
+
+    def attach(rows: dict[str, np.ndarray]) -> list[tuple]:
         parent: dict[str, str] = {}
         ids: dict[str, set] = {}
 
@@ -78,22 +101,23 @@ def resolve(records: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        for part, tokens in zip(pdf["part"], pdf["tokens"], strict=True):
-            ids.setdefault(find(part), set()).update(t for t in tokens if t.startswith("artifact:"))
+        for part, tokens in zip(rows["part"], rows["tokens"], strict=True):
+            ids.setdefault(part, set()).update(t for t in tokens if t.startswith("artifact:"))
         owner: dict[str, str] = {}
-        for part, tokens in zip(pdf["part"], pdf["tokens"], strict=True):
-            for token in sorted(tokens):
-                if token.startswith("artifact:"):
-                    continue
+        for part, tokens in zip(rows["part"], rows["tokens"], strict=True):
+            for token in sorted(t for t in tokens if not t.startswith("artifact:")):
                 a, b = find(part), find(owner.setdefault(token, part))
                 if a != b and not (ids[a] and ids[b] and ids[a].isdisjoint(ids[b])):
                     parent[b] = a
                     ids[a] |= ids[b]
-        pdf["group"] = [find(p) for p in pdf["part"]]
-        first = pdf.groupby("group", sort=False)["record_id"].transform("first")
-        return pdf.assign(group=first)[["job_id", "record_id", "ord", "tokens", "group"]]
-
-    return tagged.select("job_id", "record_id", "ord", "tokens", "part").groupBy("job_id").applyInPandas(attach, "job_id string, record_id string, ord long, tokens array<string>, group string")
+        group = [find(p) for p in rows["part"]]
+        first: dict[str, str] = {}
+        for g, record in zip(group, rows["record_id"], strict=True):
+            first.setdefault(g, record)
+        return [(job, record, int(n), list(tokens), first[g]) for job, record, n, tokens, g in zip(rows["job_id"], rows["record_id"], rows["ord"], rows["tokens"], group, strict=True)]
+
+    more = per_group(joined.filter("set IS NOT NULL").select("set", "job_id", "record_id", "ord", "tokens", "part"), ["set"], ["ord", "record_id"], attach, "job_id string, record_id string, ord long, tokens array<string>, group string")
+    return done.unionByName(more)
 
 
 def entities(resolved: DataFrame, visuals: DataFrame | None = None) -> DataFrame:

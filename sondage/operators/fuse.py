@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import geometry as g
 from sondage.functions.text import fuzzy_score
-from sondage.operators.assign import optimal
+from sondage.operators.assign import optimal, per_group
 
 # Weights of hints, the page window, floors and strong scores.
 HINTS = {"figure_refs": 1.0, "figure_item_nos": 1.0, "caption_texts": 0.98, "plate_refs": 0.98, "artifact_ids": 0.96, "aliases": 0.86}
@@ -60,18 +60,27 @@ def spatial_evidence(evidence: DataFrame, regions: DataFrame) -> DataFrame:
 def nearest_visuals(records: DataFrame, regions: DataFrame) -> DataFrame:
     """Records without a picture and the crops within the page window, one to one within a job."""
     pairs = banded(records, regions).withColumn("score", g.nearest_score(g.distance(F.col("record_box"), F.col("bbox")), F.col("page_gap"), F.col("bbox.b") <= F.col("record_box.t"), F.col("id_match")))
-    return grouped_assignment(pairs, ["job_id"], "record_id", "region_id", NEAREST_FLOOR)
+    return grouped_assignment(pairs, ["job_id"], "record_id", "region_id", NEAREST_FLOOR, connected=True)
 
 
-def grouped_assignment(pairs: DataFrame, by: list[str], left: str, right: str, least: float) -> DataFrame:
-    """Optimal pairs within each group. Pairs below ``least`` are never assigned, so they are dropped before the shuffle, and
-    each group's matrix falls apart into the connected parts of what is left."""
+def grouped_assignment(pairs: DataFrame, by: list[str], left: str, right: str, least: float, connected: bool = False) -> DataFrame:
+    """Optimal pairs within each group. Pairs below ``least`` are never assigned, so they are dropped before the shuffle, and what
+    is left falls apart into sets that pairs connect. Where a group may be large (``connected``) the sets are found by joins and
+    each is a group of its own; else within the group's call."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    fine = pairs.filter(F.col("score") >= least).select(*by, left, right, "score")
+    keys = by
+    if connected:
+        from sondage.operators.entity import components
+        from sondage.operators.state import cut_lineage
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = sorted(set(pdf[left])), sorted(set(pdf[right]))
-        ri, ci = ({v: i for i, v in enumerate(x)} for x in (rows, columns))
-        part = list(range(len(rows) + len(columns)))
+        fine, name = cut_lineage(fine), lambda side, c: F.concat_ws("\x1f", *by, F.lit(side), F.col(c).cast("string"))
+        sets = components(fine.select(name("l", left).alias("a"), name("r", right).alias("b"))).select(F.col("node").alias("__l"), F.col("root").alias("__set"))
+        fine, keys = fine.join(sets, name("l", left) == F.col("__l")).drop("__l"), ["__set"]
+
+    def each(rows: dict[str, np.ndarray]) -> list[tuple]:
+        lo, hi = (np.unique(rows[c], return_inverse=True) for c in (left, right))
+        part = list(range(len(lo[0]) + len(hi[0])))
 
         def find(x: int) -> int:
             while part[x] != x:
@@ -79,18 +88,20 @@ def grouped_assignment(pairs: DataFrame, by: list[str], left: str, right: str, l
                 x = part[x]
             return x
 
-        for a, b in zip(pdf[left].map(ri), pdf[right].map(ci), strict=True):
-            part[find(int(a))] = find(len(rows) + int(b))
-        out = []
-        for _, own in pdf.groupby([find(int(i)) for i in pdf[left].map(ri)], sort=False):
-            lo, hi = sorted(set(own[left])), sorted(set(own[right]))
-            scores = np.zeros((len(lo), len(hi)))
-            scores[own[left].map({v: i for i, v in enumerate(lo)}), own[right].map({v: i for i, v in enumerate(hi)})] = own["score"]
-            out += [(*pdf[by].iloc[0], lo[i], hi[j], float(scores[i, j])) for i, j in optimal(scores, least)]
-        return pd.DataFrame(out, columns=[*by, left, right, "score"])
+        for a, b in zip(lo[1].tolist(), hi[1].tolist(), strict=True):
+            part[find(a)] = find(len(lo[0]) + b)
+        roots = np.array([find(a) for a in lo[1].tolist()])
+        out, head = [], [rows[c][0] for c in by]
+        for root in np.unique(roots):
+            own = roots == root
+            (ln, li), (rn, ri) = (np.unique(x[1][own], return_inverse=True) for x in (lo, hi))
+            scores = np.zeros((len(ln), len(rn)))
+            scores[li, ri] = rows["score"][own]
+            out += [(*head, lo[0][ln[i]], hi[0][rn[j]], float(scores[i, j])) for i, j in optimal(scores, least)]
+        return [tuple(x.item() if isinstance(x, np.generic) else x for x in row) for row in out]
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, left, right]) + ", score double"
-    return pairs.filter(F.col("score") >= least).groupBy(*by).applyInPandas(each, schema)
+    return per_group(fine, keys, [left, right], each, schema)
 
 
 def plate_references(records: DataFrame, labels: DataFrame) -> DataFrame:

@@ -161,36 +161,30 @@ def text_chunks(blocks: DataFrame, by: str, order: str, starts: Column) -> DataF
 def capped_chunks(blocks: DataFrame, most_chars: int = 8000, cross_page: int = 8) -> DataFrame:
     """document_id, chunk, ids, first_page, last_page, text of blocks (document_id, page, ord, text, ids).
 
-    A block with ids of its own starts a chunk and its ids hold until the next; without active ids a chunk ends with its
-    page; it also ends after ``cross_page`` blocks on later pages or before it would outgrow ``most_chars``, and then the
-    next one inherits the ids. The cap resets the state, so a document is scanned in order by one grouped call.
+    A block with ids of its own starts a chunk and its ids hold until the next; without active ids a chunk ends with its page;
+    with them it may go on over ``cross_page`` page breaks. A block that would make it outgrow ``most_chars`` starts the next
+    chunk, which inherits the ids. The caps reset the state, so a document is read in order by one grouped call.
     """
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
         now: dict | None = None
         for row in pdf.sort_values("ord", kind="stable").itertuples():
-            own = list(row.ids) if row.ids is not None else []
-            if now is not None:
-                later = row.page != now["first_page"]
-                if own:
-                    keep = None
-                elif later and not now["ids"]:
-                    keep = None
-                elif now["cross"] + later > cross_page or now["size"] + len(row.text) > most_chars:
-                    keep = None
-                    own = now["ids"]
-                else:
-                    keep = now
-            else:
-                keep = None
-            if keep is None:
-                now = {"document_id": row.document_id, "chunk": len(out), "ids": own, "first_page": row.page, "last_page": row.page, "texts": [], "size": 0, "cross": 0}
+            ids, size = list(row.ids) if row.ids is not None else [], len(row.text) + 1
+            fresh = now is None or bool(ids)
+            if not fresh:
+                turned = row.page != now["last_page"]
+                now["turns"] += turned
+                if turned and (not now["ids"] or now["turns"] > cross_page):
+                    fresh = True
+                elif now["size"] + size > most_chars:
+                    fresh, ids = True, now["ids"]
+            if fresh:
+                now = {"document_id": row.document_id, "chunk": len(out), "ids": ids, "first_page": row.page, "last_page": row.page, "texts": [], "size": 0, "turns": 0}
                 out.append(now)
-            now["cross"] += int(row.page != now["first_page"])
             now["texts"].append(row.text)
-            now["size"] += len(row.text) + 1
-            now["last_page"] = max(now["last_page"], row.page)
+            now["size"] += size
+            now["last_page"] = row.page
         for c in out:
             c["text"] = "\n".join(c.pop("texts"))
         return pd.DataFrame(out, columns=["document_id", "chunk", "ids", "first_page", "last_page", "text"])
@@ -202,8 +196,8 @@ def nearest_context(left: DataFrame, right: DataFrame, key: str, at_left: str, a
     """Pairs of equal key at the smallest distance of two positions, with all ties. The minimum is an aggregate that the
     pairs are joined to, so a hot key is no window partition."""
     pairs = left.join(right, key).withColumn("distance", F.abs(F.col(at_left) - F.col(at_right)))
-    w = Window.partitionBy(key, at_left)
-    return pairs.withColumn("__min", F.min("distance").over(w)).filter("distance = __min").drop("__min")
+    least = pairs.groupBy(key, at_left).agg(F.min("distance").alias("distance"))
+    return pairs.join(least, [key, at_left, "distance"]).select(*pairs.columns)
 
 
 def visual_features(pixels, width: int, height: int) -> dict[str, float]:

@@ -53,6 +53,15 @@ def report(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return sizes.crossJoin(links)  # two single rows
 
 
+def preview_report(records: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row: how many records are linked, partly linked and not, and how many have a complete chain: a drawing and a caption or a
+    number among their regions. ``records``: record_id, fusion_status, region_ids."""
+    own = records.select("record_id", F.explode("region_ids").alias("id")).join(regions.select("id", "kind"), "id")
+    chains = own.groupBy("record_id").agg((F.bool_or(F.col("kind") == "artifact") & F.bool_or(F.col("kind").isin("caption", "number"))).alias("chain")).agg(F.count_if("chain").alias("complete_chains"))
+    states = records.agg(F.count("*").alias("total_records"), *(F.count_if(F.col("fusion_status") == s).alias(f"{s}_records") for s in ("linked", "partial", "unlinked")))
+    return states.crossJoin(chains)  # two single rows
+
+
 def supersede(links: DataFrame, old_id: str, new_target: str, new_id: str, reviewer: str) -> DataFrame:
     """A rebind: the old link is rejected and points to a new accepted one."""
     hit = F.col("id") == old_id

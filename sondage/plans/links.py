@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.functions import geometry as g
-from sondage.operators import catalog, evaluate, evidence, extraction, fuse, index, linkage, records, rematch, state, verify
+from sondage.operators import catalog, evaluate, evidence, extraction, fuse, index, linkage, reading, records, rematch, state, verify
 from sondage.plans.cases import cases
 from sondage.plans.adapters import lines
 from sondage.plans.registry import keyed_query as query
@@ -578,3 +578,96 @@ def scope_sink(spark: SparkSession, sf: str) -> Frame:
     state.write_scope(rows.withColumn("v", F.lit("old")), path, ["scope"])
     state.write_scope(rows.filter("scope LIKE '1%' AND o_orderkey % 2 = 0").withColumn("v", F.lit("new")), path, ["scope"])
     return spark.read.parquet(path).select("o_orderkey", "scope", "v")
+
+
+# --- answers, lines and chunks -------------------------------------------------------------------------------------------
+
+cases("payload_outcomes", ["string"], "VARCHAR", [
+    ('{"records": []}', "read"), ('```json\n[{"a": 1}]\n```', "read"), ('{"output": "{\\"records\\": [1]}"}', "read"), ('{"output": {"output": {"records": []}}}', "read"), ("no json", "no_object"), (None, "no_object"), ('{"records": 1}', "no_records"),
+    ('{"schema_version": "2", "records": []}', "other_schema"), ('{"schema_version": "1", "chunk_id": "x", "records": []}', "other_chunk"), ('{"chunk_id": "c", "records": []}', "read"),
+], lambda c: reading.payload_outcome(c, F.lit("1"), F.lit("c")), "PR26.")
+cases("json_objects", ["string"], "VARCHAR", [('```json\n{"a": 1}\n```', '{"a": 1}'), ('Sure: {"a": {"b": 2}} done', '{"a": {"b": 2}}'), ("[1]", None), ("none", None), ('{"a": ', None)], reading.json_object, "PR39.")
+cases("unknown_keys", ["string"], "VARCHAR[]", [('{"a": 1, "z": 2, "c": 3}', ["c", "z"]), ('{"a": 1}', []), ("{}", []), ("bad", [])], lambda c: reading.unknown_keys(c, ["a", "b"]), "PR13.")
+cases("verification_compact", ["string"], "VARCHAR", [("口径 10 厘米；（残）", "口径10cm残"), ("Ａ.b，c", "abc"), (None, "")], reading.verification_compact, "PR39.")
+
+
+@query("""SELECT p_partkey AS record_id, CASE WHEN p_size % 4 IN (1, 2) THEN 'v' END AS value, CASE WHEN p_size % 4 = 3 THEN 'raw' END AS raw_value, CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'valid' ELSE 'missing' END WHEN p_size % 4 = 1 THEN 'valid' ELSE 'needs_review' END AS status, p_size % 4 = 0 AND p_partkey % 2 = 0 AS refused FROM part""")
+def normalised_fields(spark: SparkSession, sf: str) -> Frame:
+    """PR12, PR13: no value, a fine one, one without a quote, and one of another type."""
+    s = F.col("p_size") % 4
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.lit("k").alias("key"), F.when(s == 3, "raw").when(s > 0, "v").alias("value"), F.lit(None).cast("string").alias("raw_value"), F.when((s > 0) | (F.col("p_partkey") % 2 == 0), "valid").alias("status"), F.when(s.isin(1, 2), "v").alias("typed"), F.when(s == 2, 0).otherwise(1).alias("grounded"))
+    return reading.normalised_fields(rows).drop("key")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS o FROM conversations), g AS (SELECT *, (o - 1) // 3 AS chunk FROM c)
+SELECT conv_id::VARCHAR AS document_id, chunk::INTEGER AS chunk, min(turn)::INTEGER AS first_page, max(turn)::INTEGER AS last_page, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY o)) AS content_hash, list_sort(list_distinct(list('figure:' || (turn % 2)))) AS references, len(list_distinct(list(turn % 3)))::BIGINT AS ids FROM g GROUP BY 1, 2""")
+def chunk_rollups(spark: SparkSession, sf: str) -> Frame:
+    """AG17."""
+    o = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    blocks = table(spark, sf, "conversations").withColumn("ord", o).select(text("conv_id").alias("document_id"), F.floor((F.col("ord") - 1) / 3).cast("int").alias("chunk"), "ord", F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.array(named("M", F.col("turn") % 3)).alias("ids"), F.array(named("figure:", F.col("turn") % 2)).alias("references"))
+    return reading.chunk_rollup(blocks).select("document_id", "chunk", "first_page", "last_page", "content_hash", "references", F.size("ids").cast("long").alias("ids"))
+
+
+@query("""SELECT 'd' || (p_partkey // 12) AS document_id, count(*)::BIGINT AS chunks, bool_or(m) AS inherited FROM (SELECT p_partkey, unnest(range(CASE WHEN p_partkey % 12 = 0 OR p_partkey % 12 = 6 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 12 = 4 THEN 1 ELSE 0 END)) AS i, p_partkey % 12 = 4 AS m FROM part) GROUP BY 1""")
+def capped_chunks(spark: SparkSession, sf: str) -> Frame:
+    """WN8, AG17, SC21: of twelve blocks the first and the seventh have ids, and the fifth outgrows the cap and inherits them."""
+    k = F.col("p_partkey")
+    blocks = table(spark, sf, "part").select(named("d", F.floor(k / 12)).alias("document_id"), F.lit(1).alias("page"), (k % 12).cast("int").alias("ord"), F.repeat(F.lit("x"), F.when(k % 12 < 4, 10).when(k % 12 == 4, 70).otherwise(1)).alias("text"), F.when(k % 6 == 0, F.array(named("M", k))).alias("ids"))
+    chunks = index.capped_chunks(blocks, most_chars=100)
+    again = Window.partitionBy("document_id").orderBy("chunk")
+    return chunks.withColumn("same", F.lag("ids").over(again) == F.col("ids")).groupBy("document_id").agg(F.count("*").alias("chunks"), F.coalesce(F.bool_or("same"), F.lit(False)).alias("inherited"))
+
+
+_LINES = "SELECT p_partkey AS line_id, p_partkey // 10 AS page, p_partkey % 10 AS y FROM part"
+
+
+def _text_lines(spark: SparkSession, sf: str) -> Frame:
+    k = F.col("p_partkey")
+    y = k % 10
+    said = F.when(y == 0, "M1:2 bowl (see Fig").when(y == 1, " 3, 4").when(y == 2, ") rest").when(y == 7, "M9 new entry: M3:4").otherwise("more words")
+    return table(spark, sf, "part").select(F.lit("j").alias("job_id"), F.floor(k / 10).cast("int").alias("page"), k.alias("line_id"), k.alias("ord"), g.box(F.lit(0.1), y / 16.0, F.lit(0.9), y / 16.0 + 0.05).alias("bbox"), said.alias("text"), F.when(y == 0, "M1:2").when(y == 7, "M3:4").otherwise("").alias("artifact_id"))
+
+
+@query(f"WITH l AS ({_LINES}) SELECT line_id, CASE WHEN y <= 5 THEN 'M1:2' ELSE 'M3:4' END AS artifact_id FROM l WHERE y <= 5 OR y >= 7")
+def artifact_owners(spark: SparkSession, sf: str) -> Frame:
+    """WN13, GR8: five lines go on below an object's first, up to the next object's."""
+    return reading.artifact_owners(_text_lines(spark, sf)).select("line_id", "artifact_id")
+
+
+@query(f"WITH l AS ({_LINES}) SELECT line_id, 'M1:2 bowl (see Fig 3, 4) rest' AS text FROM l WHERE y = 0 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = line_id + 2)")
+def completed_captions(spark: SparkSession, sf: str) -> Frame:
+    """PR30: lines below close what a caption opens."""
+    return reading.completed_captions(_text_lines(spark, sf)).select("line_id", "text")
+
+
+@query("""SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 3 = 0 THEN 'own' WHEN o_orderkey % 3 = 1 THEN 'a' || o_orderkey ELSE 'b' || o_orderkey END AS region_id FROM orders WHERE o_orderkey % 3 < 2 OR o_custkey % 2 = 0""")
+def primary_artifacts(spark: SparkSession, sf: str) -> Frame:
+    """UX9: named, by the saved relation, or by a number that reads as the identifier."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf, "orders")
+    rows = orders.select(k.alias("record_id"), F.lit(1).alias("page"), F.when(k % 3 == 0, "own").alias("primary_artifact_region_id"), F.when(k % 3 == 1, named("r", k)).alias("primary_relation_id"), named("M1:", k).alias("artifact_id"))
+    region = lambda prefix, kind, ident: orders.select(named(prefix, k).alias("id"), F.lit(1).alias("page"), F.lit(kind).alias("kind"), ident.alias("artifact_id"))
+    none = F.lit(None).cast("string")
+    regions = region("a", "artifact", none).unionByName(region("b", "artifact", none)).unionByName(region("n", "number", named("M1:", k)))
+    link = lambda prefix, target, status, score: orders.select(named(prefix, k).alias("id"), named("n", k).alias("source_region_id"), named(target, k).alias("target_region_id"), F.lit("number_of").alias("relation_type"), status.alias("review_status"), F.lit(score).alias("score"))
+    relations = link("r", "a", F.lit("rejected"), 0.9).unionByName(link("s", "b", F.when(c % 2 == 0, "accepted").otherwise("rejected"), 0.5))
+    return reading.primary_artifacts(rows, regions, relations)
+
+
+@query("""WITH r AS (SELECT l_orderkey, bool_or(s_nationkey % 3 = 0) AND bool_or(s_nationkey % 3 <> 0) AS chain FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem)::BIGINT AS total_records, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 4 = 0)::BIGINT AS linked_records, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 4 = 1)::BIGINT AS partial_records,
+       (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 4 > 1)::BIGINT AS unlinked_records, count(*) FILTER (chain)::BIGINT AS complete_chains FROM r""")
+def preview_report(spark: SparkSession, sf: str) -> Frame:
+    """AG13."""
+    k = F.col("record_id")
+    own = lines(spark, sf).groupBy(F.col("l_orderkey").alias("record_id")).agg(F.collect_list("l_suppkey").alias("region_ids")).withColumn("fusion_status", F.when(k % 4 == 0, "linked").when(k % 4 == 1, "partial").otherwise("unlinked"))
+    n = F.col("s_nationkey") % 3
+    return rematch.preview_report(own, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(n == 0, "artifact").when(n == 1, "caption").otherwise("number").alias("kind")))
+
+
+@query("""SELECT 'model_human_calibration' AS source, (SELECT count(*) FROM documents)::BIGINT AS sample_size, list('do ' || n_name ORDER BY n_nationkey) AS instructions FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 1 ORDER BY n_nationkey LIMIT 12)""")
+def calibration_profile(spark: SparkSession, sf: str) -> Frame:
+    """ML12."""
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.lit("passed").alias("verdict"), *(F.lit(None).cast("string").alias(c) for c in ("failure_code", "failure_reason", "machine_verdict")), F.col("text").alias("machine_reason"))
+    said = table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") % 2 == 1, named("do ", "n_name")).otherwise(" ").alias("text"))
+    return reading.calibration_profile(reading.calibration_examples(items), said)

@@ -138,3 +138,78 @@ def test_fragments(spark):
     rows = [("j", 1, "a", "H1", 0.1, 0.1, 0.2, "owner"), ("j", 1, "b", "", 0.1, 0.21, 0.3, "tail。"), ("j", 1, "c", "", 0.1, 0.31, 0.4, "free")]
     frame = spark.createDataFrame(rows, "job_id string, page int, block_id string, artifact_id string, l double, t double, b double, text string")
     assert {r["block_id"]: r["owner_id"] for r in fuse.merge_fragments(frame).collect()} == {"a": "a", "b": "a", "c": None}
+
+
+def brute_entities(rows):
+    """Union-find over a whole job, in order: first by identifiers, then by references that contradict none."""
+    parent, ids = {}, {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    rows = sorted(rows, key=lambda r: r[2])
+    named, seen = {}, {}
+    for job, record, _, tokens in rows:
+        for token in tokens:
+            if token.startswith("artifact:"):
+                a, b = find((job, record)), find(named.setdefault((job, token), (job, record)))
+                parent[max(a, b)] = min(a, b)
+    for job, record, _, tokens in rows:
+        ids.setdefault(find((job, record)), set()).update(t for t in tokens if t.startswith("artifact:"))
+    for job, record, _, tokens in rows:
+        for token in sorted(t for t in tokens if not t.startswith("artifact:")):
+            a, b = find((job, record)), find(seen.setdefault((job, token), (job, record)))
+            if a != b and not (ids.get(a) and ids.get(b) and ids[a].isdisjoint(ids[b])):
+                parent[b] = a
+                ids.setdefault(a, set()).update(ids.get(b, ()))
+    groups = {}
+    for job, record, _, _ in rows:
+        groups.setdefault(find((job, record)), set()).add((job, record))
+    return sorted(map(sorted, groups.values()))
+
+
+def test_resolution_is_that_of_the_whole_job(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for n in range(300):
+        tokens = {f"artifact:m{random.integers(60)}:1" for _ in range(random.integers(0, 2))} | {f"figure:{random.integers(50)}:{random.integers(3)}" for _ in range(random.integers(0, 3))}
+        rows.append((f"j{n % 3}", f"r{n}", int(random.permutation(10_000)[0]) * 1000 + n, sorted(tokens)))
+    got = entity.resolve(spark.createDataFrame(rows, "job_id string, record_id string, ord long, tokens array<string>")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["job_id"], r["group"]), set()).add((r["job_id"], r["record_id"]))
+    assert sorted(map(sorted, groups.values())) == brute_entities(rows)
+
+
+def test_registered_resolution(spark):
+    from sondage.plans import evidence
+
+    made = evidence.entity_resolution(spark, "/root/testdata/sf0.001").collect()
+    rows = [(r["job_id"], r["record_id"], r["ord"], r["tokens"]) for r in evidence.entity_records(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(sorted((r["job_id"], x) for x in r["record_ids"]) for r in made) == brute_entities(rows)
+
+
+@pytest.mark.parametrize("connected", [False, True])
+def test_spatial_assignment_brute_force(spark, connected):
+    random = np.random.default_rng(5)
+    rows = [("j", page, f"e{i}", f"r{k}", float(random.integers(0, 20)) / 20) for page in range(8) for i in range(random.integers(1, 4)) for k in range(random.integers(1, 4))]
+    frame = spark.createDataFrame(rows, "job_id string, page int, evidence_id string, region_id string, score double")
+    got = fuse.grouped_assignment(frame, ["job_id", "page"], "evidence_id", "region_id", 0.2, connected=connected).collect()
+    for page in range(8):
+        scores = {(e, r): s for _, p, e, r, s in rows if p == page}
+        left, right = sorted({e for e, _ in scores}), sorted({r for _, r in scores})
+        best = 0.0
+        for choice in itertools.product([None, *right], repeat=len(left)):
+            taken = [(e, r) for e, r in zip(left, choice, strict=True) if r]
+            if len({r for _, r in taken}) == len(taken) and all(scores.get(x, 0) >= 0.2 for x in taken):
+                best = max(best, sum(scores[x] - 0.2 + 1e-9 for x in taken))
+        own = [(r["evidence_id"], r["region_id"]) for r in got if r["page"] == page]
+        assert len({e for e, _ in own}) == len(own) == len({r for _, r in own})
+        assert sum(scores[x] - 0.2 + 1e-9 for x in own) == pytest.approx(best)
+
+
+def test_hint_tokens(spark):
+    row = spark.createDataFrame([(["图三-4", "图五", "Fig 2:a"], ["彩版八：2", "彩版九 中"])], "f array<string>, p array<string>").select(entity.hint_tokens(F.col("f"), F.col("p"))).first()[0]
+    assert row == ["figure:fig2:a", "figure:图三:4", "plate:彩版八:2"]
