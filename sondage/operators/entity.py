@@ -134,6 +134,14 @@ def entities(resolved: DataFrame, visuals: DataFrame | None = None) -> DataFrame
     return rows.select("job_id", stable_hash("ent", F.col("job_id"), marker).alias("entity_id"), "match_keys", "record_ids", "visual_ids", *link_quality(F.col("match_keys"), F.col("visual_ids")))
 
 
+def owned_columns(resolved: DataFrame, records: DataFrame) -> DataFrame:
+    """Per entity the columns that linking owns on its records: all pages, sorted, the canonical identifier (of the first record that
+    has one, in upper case), and why they belong together. ``records``: job_id, record_id, pages, artifact_id."""
+    rows = resolved.join(records, ["job_id", "record_id"])
+    some = F.nullif(F.upper(F.trim("artifact_id")), F.lit(""))
+    return rows.groupBy("job_id", "group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("associated_pages"), F.min_by(some, F.when(some.isNotNull(), F.struct("ord", "record_id"))).alias("canonical_artifact_id"), F.array_sort(F.collect_set(F.when(F.size("tokens") > 0, F.split(F.col("tokens")[0], ":")[0]))).alias("link_reasons"))
+
+
 def link_quality(keys: Column, visuals: Column) -> list[Column]:
     some = lambda p: F.exists(keys, lambda k: k.startswith(p))
     sure = F.when(some("artifact:"), CONFIDENCE["artifact"]).when(some("figure:") | some("plate:"), CONFIDENCE["reference"]).otherwise(CONFIDENCE["none"])

@@ -121,8 +121,10 @@ def primary_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("record_id").agg(F.max_by(F.struct("edge_id", "score"), rank).alias("b")).select("record_id", F.col("b.edge_id").alias("edge_id"), F.col("b.score").alias("score"))
 
 
-def two_hops(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """seed, node, hops of everything within two undirected edges: two joins, the least number of hops wins."""
+def two_hops(seeds: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """seed, node, hops of everything within two undirected edges: two joins, the least number of hops wins. With ``types`` only
+    edges of those relation types are walked."""
+    edges = edges.filter(F.col("relation_type").isin(types)) if types else edges
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
     one = seeds.select(F.col("seed"), F.col("seed").alias("a")).join(both, "a").select("seed", F.col("b").alias("node"))
     two = one.withColumnRenamed("node", "a").join(both, "a").select("seed", F.col("b").alias("node"))
@@ -177,6 +179,15 @@ def next_lines(lines: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(overlap > 0).groupBy("job_id", "page", "a_id").agg(F.min_by("b_id", "rank").alias("next_id"))
 
 
+def local_evidence(records: DataFrame, relations: DataFrame, core_types: list[str]) -> DataFrame:
+    """record_id, id of the relations that a record's view shows: those it names itself, and of those whose ends touch one of its core
+    pictures the structural ones. ``records``: record_id, relation_ids, core_ids."""
+    named = records.select("record_id", F.explode("relation_ids").alias("id")).join(relations.select("id"), "id").select("record_id", "id")
+    core = records.select("record_id", F.explode("core_ids").alias("end"))
+    ends = relations.filter(F.col("relation_type").isin(core_types)).select("id", F.explode(F.array_distinct(F.array("source_region_id", "target_region_id"))).alias("end"))
+    return named.unionByName(core.join(ends, "end").select("record_id", "id")).distinct()
+
+
 def fusion_status(matched: Column, expected: Column) -> Column:
     return F.when(matched == 0, "unlinked").when(matched >= expected, "linked").otherwise("partial")
 

@@ -36,6 +36,14 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
     return old.join(new.select(*scope).distinct(), scope, "left_anti").unionByName(new)
 
 
+def replace_keeping(old: DataFrame, new: DataFrame, scope: list[str], key: list[str], kept: list[str]) -> DataFrame:
+    """As ``replace_scope``, but columns that people filled (``kept``) stay as they were on rows whose key was there before."""
+    before = old.select(*scope, *key, F.struct(*kept).alias("__kept"))
+    joined = new.join(before, [*scope, *key], "left")
+    carried = joined.select(*(F.when(F.col("__kept").isNotNull(), F.col(f"__kept.{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in new.columns))
+    return replace_scope(old, carried, scope)
+
+
 def write_scope(new: DataFrame, path: str, scope: list[str]) -> None:
     """The same as a sink: only the partitions of the scopes written are replaced, in one commit."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)

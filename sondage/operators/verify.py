@@ -206,6 +206,12 @@ def rechecked(previous: DataFrame, machine: DataFrame) -> DataFrame:
     return joined.select(*(c for c in previous.columns if c not in fresh), *(v.alias(k) for k, v in fresh.items()))
 
 
+def calibrated(items: DataFrame, machine: DataFrame) -> DataFrame:
+    """A session's items with the verdicts of the run after calibration beside the blind ones; cards it has not seen have none."""
+    found = machine.select("record_id", F.col("verdict").alias("calibrated_machine_verdict"), F.col("confidence").alias("calibrated_machine_confidence"), F.substring(F.coalesce("reason", F.lit("")), 1, 1000).alias("__r"))
+    return items.join(found, "record_id", "left").select(*items.columns, "calibrated_machine_verdict", "calibrated_machine_confidence", F.coalesce("__r", F.lit("")).alias("calibrated_machine_reason"))
+
+
 def profiles(records: DataFrame, relations: DataFrame, regions: DataFrame, checks: DataFrame) -> DataFrame:
     """record_id, expected_label, primary_page, confidence_bucket, matching_method, page_scope, has_color_plate, tags of records
     (record_id, entity_confidence, source_pages, associated_pages, relation_ids, region_ids).

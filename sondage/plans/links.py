@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.functions import geometry as g
-from sondage.operators import catalog, evaluate, evidence, extraction, fuse, index, linkage, reading, records, rematch, state, verify
+from sondage.operators import catalog, entity, evaluate, evidence, extraction, fuse, index, linkage, reading, records, rematch, state, verify
 from sondage.plans.cases import cases
 from sondage.plans.adapters import lines
 from sondage.plans.registry import keyed_query as query
@@ -671,3 +671,72 @@ def calibration_profile(spark: SparkSession, sf: str) -> Frame:
     items = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.lit("passed").alias("verdict"), *(F.lit(None).cast("string").alias(c) for c in ("failure_code", "failure_reason", "machine_verdict")), F.col("text").alias("machine_reason"))
     said = table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") % 2 == 1, named("do ", "n_name")).otherwise(" ").alias("text"))
     return reading.calibration_profile(reading.calibration_examples(items), said)
+
+
+# --- what people filled, what linking owns -------------------------------------------------------------------------------
+
+@query("""SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 'new' ELSE 'old' END AS v, CASE WHEN o_orderpriority LIKE '1%' AND o_orderkey % 3 = 0 THEN NULL ELSE 'human' END AS review FROM orders WHERE o_orderpriority NOT LIKE '1%' OR o_orderkey % 2 = 0""")
+def kept_reviews(spark: SparkSession, sf: str) -> Frame:
+    """SC30: a scope is replaced, and what people filled stays on the rows that were there."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    urgent = F.col("o_orderpriority").startswith("1")
+    old = rows.filter(~urgent | (F.col("o_orderkey") % 3 != 0)).withColumns({"v": F.lit("old"), "review": F.lit("human")})
+    new = rows.filter(urgent & (F.col("o_orderkey") % 2 == 0)).withColumns({"v": F.lit("new"), "review": F.lit(None).cast("string")})
+    return state.replace_keeping(old, new, ["o_orderpriority"], ["o_orderkey"], ["review"])
+
+
+@query("""WITH e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber <= 2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 5 = 0),
+x AS (SELECT seed, seed AS node, 0 AS hops FROM s UNION ALL SELECT seed, b, 1 FROM s JOIN u ON seed = a UNION ALL SELECT seed, v.b, 2 FROM s JOIN u ON seed = u.a JOIN u v ON u.b = v.a) SELECT seed, node, min(hops)::INTEGER AS hops FROM x GROUP BY 1, 2""")
+def typed_hops(spark: SparkSession, sf: str) -> Frame:
+    """GR5: two hops over edges of given types."""
+    n = F.col("l_linenumber")
+    edges = lines(spark, sf).select(named("s", "l_suppkey").alias("source"), named("p", "l_partkey").alias("target"), F.when(n == 1, "contains").when(n == 2, "number_of").otherwise("other").alias("relation_type"))
+    return fuse.two_hops(table(spark, sf, "supplier").filter("s_suppkey % 5 = 0").select(named("s", "s_suppkey").alias("seed")), edges, fuse.EDGES)
+
+
+@query("""SELECT DISTINCT * FROM (SELECT o_orderkey AS record_id, l_orderkey * 10 + l_linenumber AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+UNION ALL SELECT o_orderkey, l_orderkey * 10 + l_linenumber FROM orders JOIN lineitem ON l_suppkey = o_orderkey % 97 OR l_partkey = o_orderkey % 97 WHERE l_linenumber = 3 AND o_orderkey % 20 = 0)""")
+def local_evidence(spark: SparkSession, sf: str) -> Frame:
+    """JN21: relations a record names, and structural ones at its core pictures (every twentieth record has one)."""
+    items = lines(spark, sf)
+    ident = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    relations = items.select(ident.alias("id"), F.col("l_suppkey").alias("source_region_id"), F.col("l_partkey").alias("target_region_id"), F.when(F.col("l_linenumber") == 3, "number_of").otherwise("evidence_for").alias("relation_type"))
+    k = F.col("o_orderkey")
+    own = table(spark, sf, "orders").select(k.alias("record_id"), F.array(k * 10 + 1, -k - 1).alias("relation_ids"), F.when(k % 20 == 0, F.array(k % 97)).otherwise(F.array().cast("array<bigint>")).alias("core_ids"))
+    return fuse.local_evidence(own, relations, ["number_of"])
+
+
+@query("""SELECT o_custkey AS job_id, list_sort(list_distinct(list((o_orderkey % 9)::INTEGER))) AS associated_pages, arg_min('M' || o_orderkey || ':1', o_orderkey) FILTER (o_orderkey % 3 = 0) AS canonical_artifact_id FROM orders GROUP BY 1""")
+def entity_columns(spark: SparkSession, sf: str) -> Frame:
+    """PR27: pages and the canonical identifier of each entity."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders")
+    resolved = orders.select(F.col("o_custkey").alias("job_id"), text(k).alias("record_id"), k.alias("ord"), F.array(F.lit("artifact:m1:1")).alias("tokens"), F.lit("g").alias("group"))
+    own = orders.select(F.col("o_custkey").alias("job_id"), text(k).alias("record_id"), F.array((k % 9).cast("int")).alias("pages"), F.when(k % 3 == 0, F.concat(named("m", k), F.lit(":1"))).otherwise(" ").alias("artifact_id"))
+    return entity.owned_columns(resolved, own).select("job_id", "associated_pages", "canonical_artifact_id")
+
+
+@query("""SELECT d.doc_id AS record_id, 'h' AS verdict, CASE WHEN quality = 1 THEN 'passed' WHEN quality = 0 THEN 'failed' END AS calibrated_machine_verdict, coalesce('r' || quality, '') AS calibrated_machine_reason FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def calibrated_items(spark: SparkSession, sf: str) -> Frame:
+    """JN37."""
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.lit("h").alias("verdict"))
+    machine = table(spark, sf, "labels").select(F.col("doc_id").alias("record_id"), F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("verdict"), F.lit(0.5).alias("confidence"), named("r", "quality").alias("reason"))
+    return verify.calibrated(items, machine).drop("calibrated_machine_confidence")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS record_id, o_orderstatus = 'F' AS bad FROM orders) SELECT record_id, CASE WHEN bad THEN 'failed' ELSE 'passed' END AS verdict, CASE WHEN bad THEN chr(39) || '=why' ELSE '' END AS reason, CASE WHEN bad THEN 'size: too small' ELSE '' END AS failures FROM f""")
+def workbook_detail(spark: SparkSession, sf: str) -> Frame:
+    """SC17, PR41: the detail sheet, with a summary of each card's failures."""
+    bad = F.col("o_orderstatus") == "F"
+    field = lambda name, v, why: F.struct(F.lit(name).alias("field"), v.alias("verdict"), F.lit(why).alias("reason"))
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(bad, "failed").otherwise("passed").alias("verdict"), F.when(bad, "=why").alias("reason"), F.array(field("size", F.when(bad, "failed").otherwise("passed"), "too small"), field("name", F.lit("passed"), "")).alias("field_results"))
+    return records.workbook(items)["detail"]
+
+
+@query("""SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation WHERE n_nationkey < 8""")
+def sheet_preview(spark: SparkSession, sf: str) -> Frame:
+    """SC7: the header and eight rows of a sheet."""
+    path = shared_folder(spark, "preview")
+    table(spark, sf, "nation").select(text("n_nationkey").alias("key"), F.col("n_name").alias("name")).coalesce(1).sortWithinPartitions(F.col("key").cast("int")).write.csv(path, header=True)
+    header, rows = files.sheet_preview(spark, path)
+    return rows.select(*header)

@@ -67,6 +67,12 @@ def human_sheet(spark: SparkSession, path: str, *, id_col: str | None = None, co
     return keyed.withColumn("duplicate_key_count", F.count("*").over(Window.partitionBy("canonical_artifact_id")))
 
 
+def sheet_preview(spark: SparkSession, path: str, rows: int = 8) -> tuple[list[str], DataFrame]:
+    """The header and the first rows of a sheet."""
+    sheet = spark.read.csv(path, header=True, multiLine=True)
+    return sheet.columns, sheet.limit(rows)
+
+
 def assets(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """path, stem, asset_type of the files below a folder; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
