@@ -455,12 +455,12 @@ def request_totals(spark: SparkSession, sf: str) -> Frame:
 
 
 @query("""SELECT v.c_custkey AS version_id, 1 AS version, o_custkey AS run_id, 'completed' AS run_status, l_orderkey AS record_id, l_linenumber AS n, o_orderstatus AS fields FROM customer v JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <> 2
-UNION ALL SELECT v.c_custkey, 1, o_custkey, 'completed', -l_orderkey, l_linenumber, NULL FROM customer v JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 2""")
+UNION ALL SELECT v.c_custkey, 1, o_custkey, 'completed', -1 - l_orderkey, l_linenumber, NULL FROM customer v JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 2""")
 def export_bundle(spark: SparkSession, sf: str) -> Frame:
     """JN26, JN32."""
     orders = table(spark, sf, "orders")
     versions = table(spark, sf, "customer").select(F.col("c_custkey").alias("version_id"), F.lit(1).alias("version"), F.col("c_custkey").alias("machine_run_id"))
-    items = lines(spark, sf).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run_id")), "l_orderkey").select("run_id", F.when(F.col("l_linenumber") == 2, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("record_id"), F.col("l_linenumber").alias("n"))
+    items = lines(spark, sf).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run_id")), "l_orderkey").select("run_id", F.when(F.col("l_linenumber") == 2, -1 - F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("record_id"), F.col("l_linenumber").alias("n"))
     runs = versions.select(F.col("version_id").alias("run_id"), F.lit("completed").alias("status"))
     return sessions.export_bundle(versions, runs, items, orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("fields")))
 
