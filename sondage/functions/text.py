@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,18 @@ NUMERALS = "一二三四五六七八九十百零〇"
 SPACE = r"(?U)\s+"
 
 
-def nfkc(c: Column) -> Column:
+@lru_cache(maxsize=1)
+def _nfkc():
+    """One function for all plans, so a plan that asks for the same column twice computes it once."""
+
     def each(s: pd.Series) -> pd.Series:
         return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
-    return F.pandas_udf(each, "string")(c)
+    return F.pandas_udf(each, "string")
+
+
+def nfkc(c: Column) -> Column:
+    return _nfkc()(c)
 
 
 def _normal(c: Column, normal: bool) -> Column:
@@ -211,12 +219,13 @@ def compare_fields(rows: DataFrame, key: str, actual: str, expected: str, *, nor
     """
     kept = [c for c in rows.columns if c not in (actual, expected)]
     k, is_measure, is_figure = F.col(key), F.col(key) == "measurements", F.col(key) == "figure_caption"
-    out = rows.withColumns({"__a": compact(F.col(actual), normal), "__e": compact(F.col(expected), normal)})
+    both = rows if normal else rows.withColumns({c: nfkc(F.col(c).cast("string")) for c in (actual, expected)})
+    out = both.withColumns({"__a": compact(F.col(actual), True), "__e": compact(F.col(expected), True)})
     out = out.withColumns({
-        "__em": F.when(is_measure, measurements(F.col(expected), normal)),
-        "__am": F.when(is_measure, measurements(F.col(actual), normal)),
-        "__ef": F.when(is_figure, figure_tokens(F.col(expected), normal)),
-        "__af": F.when(is_figure, figure_tokens(F.col(actual), normal)),
+        "__em": F.when(is_measure, measurements(F.col(expected), True)),
+        "__am": F.when(is_measure, measurements(F.col(actual), True)),
+        "__ef": F.when(is_figure, figure_tokens(F.col(expected), True)),
+        "__af": F.when(is_figure, figure_tokens(F.col(actual), True)),
     })
     measured, by_figure = F.coalesce(F.size("__em") > 0, F.lit(False)), F.coalesce(F.size("__ef") > 0, F.lit(False))
     score = F.when(measured, measurement_overlap(F.col("__em"), F.col("__am"))).when(by_figure, F.size(F.array_intersect("__ef", "__af")) / F.size("__ef")).otherwise(F.coalesce(compact_similarity(F.col("__a"), F.col("__e"), exact_only), F.lit(0.0)))

@@ -46,12 +46,13 @@ def field_results(joined: DataFrame, fields: list[str], *, normal: bool = False,
 def field_metrics(results: DataFrame, fields: list[str]) -> DataFrame:
     """Per field evaluated, matched, exact, missing, mismatched, extra (always 0), mean_score, exact_rate. Every field of the
     fixed list has a row; without evaluated rows its means are null."""
-    shown = results.filter(~F.col("verdict").isin("not_applicable", "not_evaluated"))
-    agg = shown.groupBy("key").agg(F.count("*").alias("evaluated"), F.count_if(F.col("verdict") == "matched").alias("matched"), F.count_if("exact").alias("exact"), F.count_if(F.col("verdict") == "missing").alias("missing"), F.count_if(F.col("verdict") == "mismatched").alias("mismatched"), F.avg("score").alias("mean_score"))
+    # conditions in the aggregate: a filter would be pushed below the comparison and compare everything once more
+    shown, of = ~F.col("verdict").isin("not_applicable", "not_evaluated"), lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    agg = results.groupBy("key").agg(F.count_if(shown).alias("evaluated"), of("matched"), F.count_if(shown & F.col("exact")).alias("exact"), of("missing"), of("mismatched"), F.avg(F.when(shown, F.col("score"))).alias("mean_score"))
     base = results.sparkSession.createDataFrame([(f,) for f in fields], "key string")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     joined = base.join(agg, "key", "left")
-    return joined.select("key", n("evaluated"), n("matched"), n("exact"), n("missing"), n("mismatched"), F.lit(0).cast("long").alias("extra"), "mean_score", (F.col("exact") / F.col("evaluated")).alias("exact_rate"))
+    return joined.select("key", n("evaluated"), n("matched"), n("exact"), n("missing"), n("mismatched"), F.lit(0).cast("long").alias("extra"), "mean_score", F.try_divide("exact", "evaluated").alias("exact_rate"))
 
 
 def summary(joined: DataFrame, metrics: DataFrame, predictions_with_id: DataFrame, full_document: bool) -> DataFrame:
