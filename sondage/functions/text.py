@@ -272,6 +272,11 @@ def bucket(c: Column, rules: list[tuple[str, str]], none: str, other: str) -> Co
     return out.otherwise(other)
 
 
+def material(c: Column) -> Column:
+    """The bucket of a material or texture."""
+    return bucket(c, MATERIALS, "未记录", "其他材质")
+
+
 def category(c: Column, most: int = 12, none: str = "未归类") -> Column:
     text = F.trim(F.coalesce(c, F.lit("")))
     return F.when((text != "") & (F.length(text) <= most), text).otherwise(none)

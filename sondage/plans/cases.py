@@ -85,6 +85,7 @@ cases("text_upgrade", ["string", "string"], "BOOLEAN", [(None, "a", True), ("a",
 cases("text_captions_compatible", ["string", "string"], "BOOLEAN", [("图三-1 罐", "见图三-1", True), ("罐", "大罐", True), ("罐", "碗", False), ("", "碗", False)], records.captions_compatible, "SF38.")
 cases("text_ids_compatible", ["string", "string"], "BOOLEAN", [("T03021:5", "T0302:5", True), ("M1:2", "m1:2", True), ("M1:2", "M12:2", False), ("T0302:5", "T030225:5", False), ("T0302:5", "T03021:6", False)], records.ids_compatible, "SF13, PR32: equal, or a circled unit that ran into the stem.")
 cases("text_missing_colon", ["string", "string"], "BOOLEAN", [("M02:2", "M022", True), ("M12:2", "M122", False), ("M02:2", "M023", False)], records.missing_colon, "SF14: for zero-padded left parts only.")
+cases("material_buckets", ["string"], "VARCHAR", [(None, "未记录"), (" ", "未记录"), ("青玉", "玉石"), ("泥质灰陶", "陶瓷"), ("泥质", "泥质 / 夹砂"), ("铁器", "金属"), ("骨", "骨牙贝"), ("砂岩", "石质"), ("漆木", "木竹漆"), ("丝", "其他材质")], t.material, "SF49: the first rule that holds.")
 cases("text_guarded", ["string"], "VARCHAR", [("=1+1", "'=1+1"), ("@x", "'@x"), ("-3", "'-3"), ("+", "'+"), ("a=1", "a=1"), (None, None)], t.guarded, "SC16: what a spreadsheet would take for a formula.")
 cases("text_safe_path", ["string"], "VARCHAR", [("a/b.png", "a/b.png"), ("x..y/z", "x..y/z")], records.safe_path, "SC18: keys that stay in their folder.")
 cases("text_upload_ids", ["string"], "VARCHAR[]", [("see m13:9 and H2:3, T1", ["M13:9", "H2:3"]), ("K1:2", []), ("M1:2 M1:2", ["M1:2"])], records.upload_ids, "PR43.")
