@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from sondage.llm._io import Scratch
 
 BITS = 40
+#: Up to so many sources their plan is sent to all tasks; it is a row of a few numbers each.
+FEW_SOURCES = 10_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 _WORD = re.compile(WORD)
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.int64)
@@ -150,7 +152,9 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="te
     rows = scratch.table(sized(docs, id_col, text_col, source_col, seed), "sized")
     found = rows.groupBy("no_source", "source").agg(F.sum("size").alias("n")).collect()
     schedule = Schedule(sorted((r["no_source"], r["source"], r["n"]) for r in found), **options)
-    placed = scratch.table(streamed(rows).join(F.broadcast(schedule.frame(spark)), ["no_source", "source"]), "placed")
+    known = schedule.frame(spark)
+    known = F.broadcast(known) if len(found) <= FEW_SOURCES else known
+    placed = scratch.table(streamed(rows).join(known, ["no_source", "source"]), "placed")
     mixed = spans(placed, schedule.block).join(schedule.slot_table(spark), ["src", "block"])
     return placed, mixed, schedule
 
@@ -176,19 +180,21 @@ def word_prefix(text: str, words: int) -> str:
 
 
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: one row per copy taken; a copy of which only the first words are
-    taken holds the text up to there. Documents that the mix takes nothing of are absent. Rows that repeat id, source and
-    size are taken alike, as the most taken of them."""
+    """The mixed corpus with the columns of ``docs``, whatever their names: one row per copy taken; a copy of which only the
+    first words are taken holds the text up to there. Documents that the mix takes nothing of, null and empty texts among
+    them, are absent; an empty table gives no rows. Of rows that repeat id, source and size each is taken as often as one of
+    them is in the plan, in the order of their texts' hashes."""
     own = taken(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    counts = own.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    names = docs.columns
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": size})
-    right = counts.select(F.col("doc_id").alias("__id2"), F.col("source").alias("__source2"), F.col("size").alias("__size2"), F.col("taken").alias("__taken"))
-    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__id2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__size") == F.col("__size2")))
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int"))))
-    words = (F.col("__taken") - F.col("__copy") * F.col("__size")).cast("long")
-    rows = copies.select(*names, F.when(words < F.col("__size"), words).alias("__words"))
+    names, key = docs.columns, ["id", "no_id", "source", "no_source", "size"]
+    named = lambda df, id_, source, size, *more: df.select(F.coalesce(id_.cast("string"), F.lit("")).alias("id"), id_.isNull().alias("no_id"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("no_source"), size.alias("size"), *more).filter("size > 0")
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("nth")  # noqa: E731  rows of one id, mostly one
+    counts = named(own, F.col("doc_id"), F.col("source"), F.col("size"), "taken").select(*key, "taken", nth(F.desc("taken"))).filter("taken > 0")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = named(docs, F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(F.col(f"`{text_col}`")).alias("print"))
+    joined = rows.select(*key, "row", nth("print")).join(counts, [*key, "nth"])
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    words = (F.col("taken") - F.col("copy") * F.col("size")).cast("long")
+    rows = copies.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.when(words < F.col("size"), words).alias(f"words of {len(names)}"))
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
     def cut(batches):

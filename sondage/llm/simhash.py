@@ -164,8 +164,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``radius`` differing bits.
 
     Texts without words (null, empty) have fingerprint 0 and are linked like any other; repeated rows come back each;
-    null ids are linked but name a component only if it has no other id (then null); an empty table gives no rows.
+    null ids are linked but name a component only if it has no other id (then null); an empty table gives no rows. Other
+    columns are not read. ``radius`` is 4 or 5: the ball of half of it has two flips.
     """
+    if radius not in (4, 5):
+        raise ValueError("the balls have two flips, which meet within a radius of 4 or 5")
     with Scratch(docs.sparkSession, "simhash") as scratch:
         own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         marked = scratch.table(fingerprints(own, words, seed), "marked")

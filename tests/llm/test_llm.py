@@ -131,6 +131,14 @@ def test_mixing(spark, awkward, nothing):
     assert mixing.taken(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(i % 5, prose(i % 5, 40), "en", "s", 1, 1, "x", 0.0, 7) for i in range(20)] + [(None, prose(9, 40), "en", "s", 1, 1, "x", 0.0, 7)] * 4
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = mixing.taken(docs).agg(F.sum("taken")).first()[0]
+    mixed = mixing.mix_documents(docs.withColumn("taken", F.lit("clash")))
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == plan == int(1.5 * 24 * 40)
+
+
 def test_schedule(spark):
     s = np.arange(6000)
     points = mixing.van_der_corput(s)
@@ -209,6 +217,11 @@ def test_simhash(awkward, nothing):
     assert stay.columns == awkward.columns and sorted((r["doc_id"] for r in stay.collect()), key=repr) == sorted({c for _, _, c in expected}, key=repr)
 
 
+def test_simhash_radius(spark, awkward):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.near_duplicates(awkward, radius=6)
+
+
 @pytest.mark.parametrize("room", [1 << 21, 300])
 def test_ball_hashing_loses_no_link(spark, room):
     random = np.random.default_rng(3)
@@ -332,9 +345,9 @@ def brute_units(docs, least, pattern=r"[^\n]+"):
     return out
 
 
-@pytest.mark.parametrize("size", [50, 51, 7])
-def test_repeated_passages(spark, awkward, nothing, size):
-    spans = substring.repeated_passages(awkward, size=size, least_words=4)
+@pytest.mark.parametrize(("size", "common"), [(50, 1000), (50, 0), (51, 1000), (7, 1000), (7, 0)])
+def test_repeated_passages(spark, awkward, nothing, size, common):
+    spans = substring.repeated_passages(awkward, size=size, least_words=4, common=common)
     rows = spans.collect()
     prints = {(r["doc_id"], r["text"]): r["p"] for r in awkward.withColumn("p", F.xxhash64("text")).collect()}
     # equal rows are one document; null ids come last, equal ids by the print of the text
