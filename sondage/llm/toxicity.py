@@ -84,11 +84,6 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def counted(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of the texts (``sizes`` values each, one after another), and how many texts hold each."""
-    return np.unique(np.unique(np.repeat(np.arange(len(sizes)) << 32, sizes) | flat) & 0xFFFFFFFF, return_counts=True)
-
-
 def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, alone: int = 6, rounds: int = 12, rate: float = 0.2, paired_rate: float = 0.02, shrink: float = 0.005, decay: float = 1e-4, paired_decay: float = 1e-3, least: int = 3, least_paired: int = 20, seed: int = 0) -> Machine:
     """Fits by AdaGrad on (label, hashed terms), in batches of 32, over all terms of ``least`` texts or more.
 
@@ -99,16 +94,19 @@ def fit(rows: list[tuple[int, np.ndarray]], *, factors: int = 8, alone: int = 6,
     if not rows or len({y for y, _ in rows}) < 2:
         bias = -50.0 if not rows or not rows[0][0] else 50.0
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), bias)
-    # one array for all texts: many small ones would stay with the worker's memory
-    flat, sizes = np.concatenate([x for _, x in rows]), np.asarray([len(x) for _, x in rows])
-    buckets, counts = counted(flat, sizes)
-    held = counts[counts >= least] >= least_paired
-    buckets = buckets[counts >= least]
-    place = np.searchsorted(buckets, flat)
-    hit = place < len(buckets)
-    hit[hit] = buckets[place[hit]] == flat[hit]
-    docs = np.split(place[hit].astype(np.int32), np.cumsum(np.bincount(np.repeat(np.arange(len(rows)), sizes)[hit], minlength=len(rows)))[:-1])
-    del flat, place, hit
+    # tables over all buckets, 16 MB each, and a text at a time: what all texts hold together stands in memory once
+    counts = np.zeros(BUCKETS, dtype=np.int32)
+    for _, own in rows:
+        counts[np.unique(own)] += 1
+    buckets = np.flatnonzero(counts >= least)
+    held = counts[buckets] >= least_paired
+    index = np.full(BUCKETS, -1, dtype=np.int32)
+    index[buckets] = np.arange(len(buckets), dtype=np.int32)
+    docs = []
+    for _, own in rows:
+        place = index[own]
+        docs.append(place[place >= 0])
+    del counts, index
     y = np.asarray([float(v) for v, _ in rows])
     random = np.random.default_rng(seed)
     table = np.concatenate([np.zeros((len(buckets), 1)), random.normal(0, 0.01, (len(buckets), factors))], axis=1).astype(np.float32)
@@ -175,9 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, per_class: in
     rows = scratch.table(texts.select("id", "y", "text").mapInArrow(terms, "id long, y int, terms binary"), "terms")
 
     def learn(batches):
-        got = sorted((r["id"], r["y"], r["terms"]) for batch in batches for r in batch.to_pylist())
-        seen = dict.fromkeys(((i, y), x) for i, y, x in got)  # repeated rows once
-        machine = fit([(y, np.frombuffer(x, dtype=np.int32)) for (_, y), x in seen], **options)
+        seen = {(i, y, x) for batch in batches for i, y, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)}  # repeated rows once
+        machine = fit([(y, np.frombuffer(x, dtype=np.int32)) for _, y, x in sorted(seen)], **options)
         machine.bias -= shift
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
 
