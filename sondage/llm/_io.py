@@ -66,6 +66,31 @@ class Scratch:
         self.drop()
 
 
+#: Bits of a ``BitFilter``: 4 MB, whatever the number of keys.
+FILTER_BITS = 25
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    """The bit of a key (a long) in a bit filter."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A packed bitset with the bits of all keys (one column of longs) set. Its size is fixed, so it can be sent everywhere: it
+    holds back what no key can meet. With very many keys it holds back less, and never a key that is there."""
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[slot(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    for row in keys.coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row[0], dtype=np.uint8)
+    return out
+
+
 def runs(column: pa.Array, most: int = 1 << 20):
     """(from, to) of consecutive texts of an Arrow column with about ``most`` bytes together, before any of them becomes a
     Python object; a longer text is a run of its own."""

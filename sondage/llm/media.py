@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm._io import Scratch
+from sondage.llm._io import Scratch, bit_filter, slot
 
 SCALES = (1.0, 0.75, 0.5)
 REACH = 9  # of the brightness comparisons
-FILTER_BITS = 25  # 4 MB
 #: Hamming tables: one for each 64-bit word of a descriptor.
 TABLES = 4
 #: How far placements may lie apart that agree: in powers of two, radians and pixels.
@@ -95,27 +94,6 @@ def keys_of(bits: np.ndarray) -> np.ndarray:
     return (own ^ own >> np.uint64(29)).view(np.int64)
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    """The bit of a table key in the key filter."""
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def key_filter(rows: DataFrame) -> np.ndarray:
-    """A bitset of 2**FILTER_BITS bits with those of all keys set. Its size is fixed, so it can be sent everywhere; with very
-    many keys it holds back less, and never a key that is there."""
-
-    def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            bits[slot(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
-    for row in rows.select("key").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row[0], dtype=np.uint8)
-    return out
-
-
 def features(pictures: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """A row per corner and table: media_id, corner, key, x, y, scale, angle of (media_id, width, height, pixels); of keys
     outside ``wanted`` none."""
@@ -218,7 +196,7 @@ def find_copies(pictures: DataFrame, queries: DataFrame, *, least: int = 5) -> t
     asked, asking = grouped(queries, "q")
     q = scratch.table(spread(asking, "q"), "queries")
     # what no query can meet is held back where it is described; the join says the rest
-    met = q.join(spread(shown, "c", key_filter(q)), "key")
+    met = q.join(spread(shown, "c", bit_filter(q.select("key"))), "key")
     turn, ratio = F.col("c_angle") - F.col("q_angle"), F.col("q_scale") / F.col("c_scale")
     dx = F.col("c_x") - ratio * (F.col("q_x") * F.cos(turn) - F.col("q_y") * F.sin(turn))
     dy = F.col("c_y") - ratio * (F.col("q_x") * F.sin(turn) + F.col("q_y") * F.cos(turn))

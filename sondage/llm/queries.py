@@ -19,10 +19,12 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as Arrow files and read back."""
     return tokens.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors.filter("vec_id % 20 = 0"), vectors)
 
@@ -33,6 +35,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; learned from labels of rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     with Scratch(spark, "toxicity") as scratch:
@@ -42,15 +45,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps of its lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -68,14 +74,17 @@ def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+    """Repeated lines and passages of every document, but where they occur first."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("print")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
@@ -124,10 +133,16 @@ p AS (SELECT *, (sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT
 w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, e - length(tok) AS s, e, translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS tok
       FROM p WHERE regexp_matches(tok, '^[^\x20\x09-\x0D]')),
 u AS (SELECT doc_id, k, s, lead(e, 49) OVER (PARTITION BY doc_id ORDER BY k) AS e, string_agg(tok, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS h FROM w),
-r AS (SELECT doc_id, s, e, first_value(doc_id) OVER x AS first_doc, row_number() OVER x AS n FROM u WHERE e IS NOT NULL WINDOW x AS (PARTITION BY h ORDER BY doc_id, k)),
+r AS (SELECT doc_id, s, e, row_number() OVER x AS n FROM u WHERE e IS NOT NULL WINDOW x AS (PARTITION BY h ORDER BY doc_id, k)),
 g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b FROM r WHERE n > 1),
-i AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g)
-SELECT doc_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", arg_min(first_doc, s) AS first_doc FROM i GROUP BY doc_id, island
+i AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS j FROM documents),
+o AS (SELECT *, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos FROM l),
+y AS (SELECT doc_id, j, pos + length(line) - length(ltrim(line, c)) AS s, pos + length(rtrim(line, c)) AS e, translate(regexp_replace(trim(line, c), '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM o, (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS c)),
+z AS (SELECT *, first_value(doc_id) OVER v AS first_doc, row_number() OVER v AS n FROM y WHERE length(key) - length(replace(key, ' ', '')) >= 9 WINDOW v AS (PARTITION BY key ORDER BY doc_id, j))
+SELECT doc_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", CAST(NULL AS BIGINT) AS first_doc, 'window' AS unit FROM i GROUP BY doc_id, island
+UNION ALL SELECT doc_id, s::BIGINT, e::BIGINT, first_doc, 'line' FROM z WHERE n > 1
 """
 
 #: What the pages of these tables are: one article, inline tags and few character references.
