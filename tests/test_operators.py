@@ -27,10 +27,11 @@ def test_confusion(spark):
 
 
 def test_failures(spark):
-    field = "array<struct<verdict: string, failure_code: string, causes_overall_failure: boolean>>"
-    rows = [(1, "failed", [("failed", "crop_missing", True), ("failed", "crop_missing", True)]), (2, "failed", [("failed", "crop_missing", False)]), (3, "passed", [("failed", "crop_wrong", True)]), (4, "failed", None)]
+    field = "array<struct<field: string, verdict: string, failure_code: string, reason: string, causes_overall_failure: boolean>>"
+    crop = lambda code, cause: ("artifact_crop", "failed", code, "", cause)
+    rows = [(1, "failed", [crop("artifact_crop_missing", True), crop("invented", True)]), (2, "failed", [crop("artifact_crop_missing", False)]), (3, "passed", [crop("", True)]), (4, "failed", None), (5, "failed", [("identifier", "failed", None, "编号重复", True)])]
     frame = spark.createDataFrame(rows, f"record_id int, verdict string, field_results {field}")
-    assert {r["code"]: r["count"] for r in verify.failure_distribution(frame).collect()} == {"crop_missing": 1, "unclassified_failure": 2}
+    assert {r["code"]: r["count"] for r in verify.failure_distribution(frame).collect()} == {"artifact_crop_missing": 1, "artifact_id_duplicate": 1, "unclassified_failure": 2}
     assert verify.review_required(frame).first()["passed_with_doubt"] == 1
 
 
