@@ -92,6 +92,11 @@ def test_toxicity_holds_out(spark):
         machine = toxicity.train(docs, wrong.filter(~held_out(F.col("doc_id"))), scratch)
     again = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in got)
-    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    right = [(r["predicted"] == marks[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in marks]
-    assert len(right) > 10 and sum(right) >= 0.85 * len(right)
+
+
+def test_toxicity_held_out_accuracy(spark):
+    """On sf0.01, whose 94 labelled rows of remainder 2 are enough to say something (sf0.001 has 23)."""
+    sf = SF.replace("0.001", "0.01")
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    right = [r["predicted"] == marks[r["doc_id"]] for r in QUERIES["op3_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in marks]
+    assert len(right) > 50 and sum(right) >= 0.85 * len(right)
