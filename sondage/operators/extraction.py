@@ -113,13 +113,20 @@ def grounded(quote: str | None, text: str | None) -> str | None:
     return text[places[at] : places[at + len(wanted) - 1] + 1] if at >= 0 else None
 
 
-def grounded_column(quote: Column, text: Column) -> Column:
+def grounded_column(quote: Column, text: Column, near: Column | None = None) -> Column:
     """``grounded`` as a column. A quote that stands as it is, or with other white space, punctuation or case, is found by
-    expressions; only what is left and not ASCII, where width may differ, is asked of Python."""
+    expressions; only what is left and not ASCII, where width may differ, is asked of Python.
+
+    A text may hold the words of a quote several times. Where it is known where the quote was taken from (``near``, from 1), what
+    stands there or first behind it is the slice; else, or if there is none, the first one of the whole text."""
     letters = F.regexp_extract_all(quote, F.lit(r"([\p{L}\p{N}])"), F.lit(1))
     shape = F.concat(F.lit("(?iu)"), F.array_join(letters, r"[^\p{L}\p{N}]*"))
-    loose = F.when(F.size(letters) > 0, F.nullif(F.regexp_substr(text, shape), F.lit("")))
+    found = lambda own: F.nullif(F.regexp_substr(own, shape), F.lit(""))
+    loose = F.when(F.size(letters) > 0, found(text))
     quick = F.when((quote == "") | (text == ""), F.lit(None)).when(F.contains(text, quote), quote).otherwise(loose)
+    if near is not None:
+        behind = F.when((F.size(letters) > 0) & (near > 0), found(F.substr(text, near)))
+        quick = F.coalesce(behind, quick)
     rest = quick.isNull() & (quote.rlike(r"[^\x00-\x7F]") | text.rlike(r"[^\x00-\x7F]"))
     slow = F.pandas_udf(lambda q, t: pd.Series([grounded(a, b) for a, b in zip(q, t, strict=True)], dtype=object), "string")
     return F.coalesce(quick, slow(F.when(rest, quote), F.when(rest, text)))
