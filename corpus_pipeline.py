@@ -35,7 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """In place of operator 6's query: of texts that pairs with similarity 0.8 of five-word shingles join, the smallest id stays.
+    """Operator 6, and what its radius does not reach: of texts that its links (fingerprints within 4 bits) or pairs with similarity
+    0.8 of five-word shingles join, the smallest id stays.
 
     Texts without words are copies of each other, and of rows that repeat an id one stays; a null id comes last; an empty
     table gives no rows.

@@ -1,9 +1,10 @@
-"""Near copies by shingle similarity: banded fingerprints propose pairs, the shingle sets of both texts decide.
+"""Near copies by SimHash, and by shingle similarity what its radius does not reach.
 
-A ball of Hamming radius 4 around a SimHash holds only copies far above similarity 0.9, and one of 16 bits has too many
-variants to list. Here a text has ``bands`` fingerprints, each over the least values of ``rows`` orders of its shingles;
+First come the links of operator 6: texts whose fingerprints differ in at most 4 bits. Such a ball holds only copies far above
+similarity 0.9, and one of 16 bits has too many variants to list. So texts that these links leave apart are joined further:
+banded fingerprints propose pairs, the shingle sets of both texts decide. For that a text has ``bands`` fingerprints, each over the least values of ``rows`` orders of its shingles;
 two texts of similarity s share one with probability 1 - (1 - s**rows)**bands, 0.9996 at 0.8. Every pair that shares a
-fingerprint and is not already tied by verified links is verified on the whole shingle sets.
+fingerprint and is not already tied by SimHash or verified links is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm import simhash
 from sondage.llm._io import Scratch
 from sondage.llm.components import components
 
@@ -75,31 +77,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _links(members: DataFrame, sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """Verified links that join all texts which verified pairs of ``members`` (key, node, n) join.
+def _links(members: DataFrame, sets: DataFrame, least: float, scratch: Scratch, roots: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links, which join all texts that verified pairs of ``members`` (key, node, n) join.
 
     First the members of a fingerprint are held against its first one, twice: the second time those that the first round
-    left apart. Large groups of copies are then one component, so the pairs still apart can be listed in full.
+    left apart. Large groups of copies are then one component, so the pairs still apart can be listed in full. What roots tie
+    already is no pair.
     """
     fits = lambda: F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    done, roots = None, None
+    done = None
     for step in ("first", "second", "rest"):
-        own = members
-        if roots is not None:
-            own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            own = scratch.table(own, f"rooted-{step}")
-            apart = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-            own = scratch.table(own.join(apart.select("key", "lo"), "key"), f"apart-{step}")
+        own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = scratch.table(own, f"rooted-{step}")
+        apart = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        own = scratch.table(own.join(apart.select("key", "lo"), "key"), f"apart-{step}")
         if step == "rest":
             other = own.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
             pairs = own.join(other, "key").filter("node < b AND root <> other").filter(fits()).select(F.col("node").alias("a"), "b")
         else:
             rest = own if step == "first" else own.filter("root <> lo")
-            heads = rest.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head")).select("key", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
-            rest = own.join(heads, "key").filter("node <> a")
-            if step == "second":
-                rest = rest.filter("root <> lo OR a <> lo")
-            pairs = rest.filter(fits()).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+            heads = rest.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("head")).select("key", F.col("head.node").alias("a"), F.col("head.n").alias("m"), F.col("head.root").alias("other"))
+            pairs = own.join(heads, "key").filter("root <> other").filter(fits()).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -111,10 +109,8 @@ def _links(members: DataFrame, sets: DataFrame, least: float, scratch: Scratch)
     return roots
 
 
-def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root after more links: only what they join is worked through again, as links between the roots there are."""
-    if roots is None:
-        return components(links, scratch)
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
     named = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     merged = scratch.table(components(scratch.table(named.filter("a <> b").distinct(), "between"), scratch), "merged")
@@ -123,10 +119,11 @@ def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` without near copies: of all texts that pairs of shingle similarity ``least`` or more join, the
-    row with the smallest id stays (a null id comes last).
+    """The rows of ``docs`` without near copies: of all texts that SimHash links or pairs of shingle similarity ``least`` or more
+    join, the row with the smallest id stays (a null id comes last).
 
-    Texts of equal words, none included, are copies of each other; all other pairs are verified on their shingles.
+    Texts of equal words, none included, are copies of each other; SimHash links are those of ``simhash`` (four-word shingles, 4
+    bits); all other pairs are verified on their shingles.
     """
     spark, names, at = docs.sparkSession, docs.columns, docs.columns.index(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -135,14 +132,15 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             texts = batch.column(1)
             for a in range(0, len(batch), 256):
-                nodes, sizes, prints = [], [], []
+                nodes, fps, sizes, prints = [], [], [], []
                 for t in texts.slice(a, 256).to_pylist():
                     parts = words_of(t)
                     shingles = shingles_of(parts, words, seed)
                     nodes.append(node_of(parts, seed))
+                    fps.append(simhash.fingerprint(t, seed=seed))
                     sizes.append(len(shingles))
                     prints.append(banded(shingles, bands, rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(nodes, pa.int64()), pa.array(np.asarray(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "keys"])
 
     def sets_of(batches):
         for batch in batches:
@@ -156,8 +154,13 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
 
     with Scratch(spark, "nearcopies") as scratch:
-        marked = scratch.table(own.mapInArrow(mark, "doc_id long, node long, n long, keys array<long>"), "marked")
-        first = scratch.table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")), "first")
+        marked = scratch.table(own.mapInArrow(mark, "doc_id long, node long, fp long, n long, keys array<long>"), "marked")
+        first = scratch.table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")), "first")
+        with Scratch(spark, "near-simhash") as inner:
+            parts = simhash.rooted_fingerprints(inner.table(first.select("fp").distinct(), "distinct"), 4, inner)
+            parts = inner.table(first.select("node", "fp").join(parts, "fp").select("node", F.col("root").alias("part")), "parts")
+            tops = parts.groupBy("part").agg(F.min("node").alias("root"), F.count("*").alias("c")).filter("c > 1")
+            tied = scratch.table(parts.join(tops, "part").select("node", "root"), "tied")
         each = scratch.table(marked.select("node", "n", F.posexplode("keys").alias("band", "fp")).select(F.xxhash64("band", "fp").alias("key"), "node", "n").distinct(), "each")
         shared = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
         members = scratch.table(each.join(shared, "key"), "members")
@@ -165,10 +168,12 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # one text per node: that of its smallest id, or without ids any
         texts = own.join(picked.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
         sets = scratch.table(texts.mapInArrow(sets_of, "node long, own binary").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        roots = _links(members, sets, least, scratch)
+        roots = _links(members, sets, least, scratch, tied)
         rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        chosen = scratch.keep(rooted.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("__chosen")).select("__chosen"))
+        best = F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("best")
+        chosen = scratch.keep(rooted.groupBy("root").agg(best).select(F.col("best.node").alias("__chosen"), F.col("best.least").alias("__least")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    left = docs.mapInArrow(named, f"{fields}, `__node` long").join(chosen, F.col("__node") == F.col("__chosen"), "left_semi")
+    # by node and id, so that the copies of a text, which do not stay, meet in no one place
+    left = docs.mapInArrow(named, f"{fields}, `__node` long").join(chosen, (F.col("__node") == F.col("__chosen")) & F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
     by = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return left.groupBy("__node").agg(F.min_by(F.struct(*names), by).alias("__row")).select("__row.*")

@@ -159,6 +159,14 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(collide, "a long, b long")
 
 
+def rooted_fingerprints(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """The table ``distinct`` (fp: each once, and other columns) with root: one fingerprint per component."""
+    links = scratch.table(fingerprint_links(distinct, distinct.count(), radius), "links")
+    roots = scratch.table(components(links, scratch), "roots")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return scratch.table(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """Per row doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most
     ``radius`` differing bits.
@@ -173,10 +181,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         marked = scratch.table(fingerprints(own, words, seed), "marked")
         distinct = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-        links = scratch.table(fingerprint_links(distinct, distinct.count(), radius), "links")
-        roots = scratch.table(components(links, scratch), "roots")
-        rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = scratch.table(rooted, "rooted")
+        rooted = rooted_fingerprints(distinct, radius, scratch)
         first = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "first")
         named = scratch.table(rooted.select("fp", "root").join(first, "root").select("fp", "component_id"), "named")
         out = marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

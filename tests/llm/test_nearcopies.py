@@ -45,3 +45,16 @@ def test_near_copies(spark):
     assert got.columns == frame.columns
     assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(docs)
     assert nearcopies.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_simhash_links_join(spark):
+    """Texts whose fingerprints are within 4 bits are one document for the stage, also where their shingles share less than 0.8: a
+    line that stands 400 times in both outweighs what is their own."""
+    random = np.random.default_rng(3)
+    head = " ".join(["the same line of words"] * 400)
+    texts = [f"{head} " + " ".join(f"t{random.integers(1 << 40)}" for _ in range(40)) for _ in range(2)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    sets = [nearcopies.shingles_of(nearcopies.words_of(t)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and nearcopies.similarity(*sets) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, "another text"])], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
