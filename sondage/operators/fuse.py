@@ -107,11 +107,17 @@ def grouped_assignment(pairs: DataFrame, by: list[str], left: str, right: str, l
 def plate_references(records: DataFrame, labels: DataFrame) -> DataFrame:
     """record_id, region_id, score: the plate region a record's (plate, item) numbers point to. Candidates that name another
     artifact are out; among the rest an equal artifact, then the surer, then the smaller id wins."""
-    pairs = records.join(labels, ["job_id", "plate_no", "item_no"])
-    named = F.coalesce("label_artifact", F.lit("")) != ""
-    exact = named & (F.col("label_artifact") == F.col("artifact_id"))
-    fine = pairs.withColumn("exact", exact).filter(~named | F.col("exact") | (F.coalesce("artifact_id", F.lit("")) == ""))
-    best = fine.groupBy("job_id", "record_id").agg(F.max_by(F.struct("region_id", "exact"), F.struct("exact", "confidence", (-F.col("region_ord")).alias("o"))).alias("b"))
+    number = ["job_id", "plate_no", "item_no"]
+    rank = F.struct("confidence", (-F.col("region_ord")).alias("o"))
+    # of labels that say the same only the best can win, and records that say the same get the same: one row each meets
+    labels = labels.withColumn("named", F.coalesce("label_artifact", F.lit(""))).groupBy(*number, "named").agg(F.max_by(F.struct("region_id", "confidence", "region_ord"), rank).alias("l")).select(*number, "named", "l.*")
+    said = records.select(*number, "artifact_id").distinct()
+    named = F.col("named") != ""
+    fine = said.join(labels, number).withColumn("exact", named & (F.col("named") == F.col("artifact_id"))).filter(~named | F.col("exact") | (F.coalesce("artifact_id", F.lit("")) == ""))
+    order = lambda: F.struct("exact", "confidence", (-F.col("region_ord")).alias("o"))
+    best = fine.groupBy(*number, F.col("artifact_id").alias("own")).agg(F.max_by(F.struct("region_id", "exact", "confidence", "region_ord"), order()).alias("b"))
+    met = records.join(best, number).filter(F.col("artifact_id").eqNullSafe(F.col("own"))).select("job_id", "record_id", "b.*")
+    best = met.groupBy("job_id", "record_id").agg(F.max_by(F.struct("region_id", "exact"), order()).alias("b"))
     return best.select("job_id", "record_id", F.col("b.region_id").alias("region_id"), F.when(F.col("b.exact"), 0.99).otherwise(0.96).alias("score"))
 
 
