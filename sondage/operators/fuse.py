@@ -38,17 +38,33 @@ def banded(hints: DataFrame, regions: DataFrame, window: int = WINDOW) -> DataFr
 def hint_matches(hints: DataFrame, regions: DataFrame, text_score: Column | None = None) -> DataFrame:
     """The best region per (record, kind), and all regions that a strong hint names wherever they are, once each.
 
-    ``hints``: job_id, record_id, hint_kind, hint, hint_page; ``regions``: job_id, region_id, page, kind, text.
+    ``hints``: job_id, record_id, hint_kind, hint, hint_page; ``regions``: job_id, region_id, page, kind, text. ``text_score`` reads
+    hint and text alone.
+
+    Records with the same hints are one class, regions with the same pages and texts another. Pairs are scored between classes, a
+    pair of texts once, and what a class gets is dealt out to its records and regions: equal texts cost no pair of rows.
     """
-    near = banded(hints, regions)
-    far = hints.filter(F.col("hint_kind").isin("artifact_ids", "plate_refs")).join(regions, (hints["job_id"] == regions["job_id"]) & (F.col("hint") == F.col("text"))).drop(regions["job_id"])
+    sets = lambda own, of: F.array_sort(F.collect_set(F.struct(*of))).alias(own)
+    said = hints.groupBy("job_id", "record_id").agg(sets("said", ["hint_kind", "hint", "hint_page"]))
+    shown = regions.groupBy("job_id", "kind", "region_id").agg(sets("shown", ["page", "text"]))
+    asking = said.select("job_id", "said").distinct().select("job_id", "said", F.inline("said"))
+    places = shown.groupBy("job_id", "kind", "shown").agg(F.max("region_id").alias("last")).select("job_id", "kind", "shown", "last", F.inline("shown"))
+    near = banded(asking, places)
+    far = asking.filter(F.col("hint_kind").isin("artifact_ids", "plate_refs")).join(places, (asking["job_id"] == places["job_id"]) & (F.col("hint") == F.col("text"))).drop(places["job_id"])
     far = far.withColumn("page_gap", F.abs(F.col("page") - F.col("hint_page"))).filter(F.col("page_gap") > WINDOW)
-    columns = ["job_id", "record_id", "hint_kind", "hint", "region_id", "kind", "page_gap", "text"]
+    columns = ["job_id", "said", "hint_kind", "hint", "kind", "shown", "last", "page_gap", "text"]
+    pairs = near.select(*columns).unionByName(far.select(*columns))
     score = text_score if text_score is not None else fuzzy_score(F.col("hint"), F.col("text"))
-    scored = near.select(*columns).unionByName(far.select(*columns)).withColumn("text_score", score).withColumn("score", hint_score(F.col("text_score"), F.col("page_gap"), hint_weight(F.col("hint_kind")))).filter(F.col("score") >= HINT_FLOOR)
-    top = scored.groupBy("job_id", "record_id", "kind").agg(F.max_by(F.struct("region_id", "score", "hint_kind"), F.struct("score", "region_id")).alias("b")).select("job_id", "record_id", "kind", "b.*")
-    strong = scored.filter(F.col("text_score") >= STRONG).groupBy("job_id", "record_id", "kind", "region_id").agg(F.max("score").alias("score"), F.max_by("hint_kind", "score").alias("hint_kind"))
-    return top.unionByName(strong).groupBy("job_id", "record_id", "kind", "region_id").agg(F.max("score").alias("score"), F.max_by("hint_kind", "score").alias("hint_kind"))
+    texts = pairs.select("hint", "text").distinct().withColumn("text_score", score)
+    scored = pairs.join(texts, ["hint", "text"]).withColumn("score", hint_score(F.col("text_score"), F.col("page_gap"), hint_weight(F.col("hint_kind")))).filter(F.col("score") >= HINT_FLOOR)
+    top = scored.groupBy("job_id", "said", "kind").agg(F.max_by(F.struct(F.col("last").alias("region_id"), "score", "hint_kind"), F.struct("score", "last")).alias("b"))
+    strong = scored.filter(F.col("text_score") >= STRONG).groupBy("job_id", "said", "kind", "shown").agg(F.max(F.struct("score", "hint_kind")).alias("s"))
+    # the best region of a class goes out once, with the best score, whether strong or not
+    named = strong.join(top.select("job_id", "said", "kind", F.col("b.region_id").alias("best")), ["job_id", "said", "kind"])
+    out = ["job_id", "record_id", "kind", "region_id", "score", "hint_kind"]
+    first = said.join(top, ["job_id", "said"]).select("job_id", "record_id", "kind", "b.*").select(*out)
+    rest = said.join(named, ["job_id", "said"]).join(shown, ["job_id", "kind", "shown"]).filter("region_id <> best")
+    return first.unionByName(rest.select("job_id", "record_id", "kind", "region_id", "s.score", "s.hint_kind").select(*out))
 
 
 def spatial_evidence(evidence: DataFrame, regions: DataFrame) -> DataFrame:
