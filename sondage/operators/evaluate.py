@@ -101,12 +101,22 @@ def region_kinds(records: DataFrame, relations: DataFrame, regions: DataFrame) -
     return own.unionByName(via).distinct().join(regions.select(F.col("id").alias("region_id"), "kind"), "region_id").groupBy("record_id").agg(F.array_sort(F.collect_set("region_id")).alias("region_ids"), F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def asset_links(gold: DataFrame, assets: DataFrame) -> DataFrame:
-    """gold_id, asset_id, link_type: by file stem (the last asset of a stem) and by every plate key."""
+def asset_links(gold: DataFrame, assets: DataFrame, chunk: int = 4096) -> DataFrame:
+    """gold_id, asset_id, link_type: by file stem (the last asset of a stem) and by every plate key.
+
+    Links by plate key are most of all pairs, so none of them is shuffled: ids with the same set of keys are one class, the pairs of
+    classes that share a key are made distinct, and ids are dealt out only after that, assets by ``chunk`` to a row."""
     by_stem = assets.groupBy("stem").agg(F.max_by("asset_id", "ord").alias("asset_id"))
     direct = gold.join(by_stem, gold["key"] == by_stem["stem"]).select("gold_id", "asset_id", F.lit("artifact").alias("link_type"))
-    plates = gold.select("gold_id", F.explode("plate_keys").alias("plate_key")).join(assets.select("asset_id", F.explode("reference_keys").alias("plate_key")), "plate_key")
-    return direct.unionByName(plates.select("gold_id", "asset_id", F.lit("color_plate").alias("link_type")).distinct())
+    keys = lambda own, name, of: own.select(name, F.explode(of).alias("k")).filter("k IS NOT NULL").groupBy(name).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    left, right = keys(gold, "gold_id", "plate_keys"), keys(assets, "asset_id", "reference_keys")
+    right = right.select("asset_id", F.col("keys").alias("theirs"))
+    sizes = right.groupBy("theirs").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    chunks = right.join(sizes, "theirs").groupBy("theirs", F.expr("pmod(xxhash64(asset_id), parts)").alias("part")).agg(F.expr("array_agg(asset_id)").alias("ids")).select("theirs", "ids")
+    of = lambda own, name: own.select(F.col(name), F.explode(name).alias("k")).distinct()
+    met = of(left.withColumnRenamed("keys", "own"), "own").join(of(sizes, "theirs"), "k").select("own", "theirs").distinct()
+    dealt = left.join(met.join(chunks, "theirs").select("own", "ids"), F.col("keys") == F.col("own"))
+    return direct.unionByName(dealt.select("gold_id", F.explode("ids").alias("asset_id"), F.lit("color_plate").alias("link_type")))
 
 
 def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
