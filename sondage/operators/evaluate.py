@@ -101,22 +101,32 @@ def region_kinds(records: DataFrame, relations: DataFrame, regions: DataFrame) -
     return own.unionByName(via).distinct().join(regions.select(F.col("id").alias("region_id"), "kind"), "region_id").groupBy("record_id").agg(F.array_sort(F.collect_set("region_id")).alias("region_ids"), F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def _blocks(rows: DataFrame, name: str, keys: str, chunk: int) -> DataFrame:
+    """``keys`` and an array of about ``chunk`` ids that have them; an id that is null is one of them."""
+    sizes = rows.groupBy(keys).agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    ids, null = F.expr(f"array_agg({name})"), F.count_if(F.col(name).isNull()) > 0
+    dealt = rows.join(sizes, keys).groupBy(keys, F.expr(f"pmod(xxhash64({name}), parts)").alias("part"))
+    return dealt.agg(F.when(null, F.concat(ids, F.array(F.lit(None)))).otherwise(ids).alias(name)).drop("part")
+
+
 def asset_links(gold: DataFrame, assets: DataFrame, chunk: int = 4096) -> DataFrame:
     """gold_id, asset_id, link_type: by file stem (the last asset of a stem) and by every plate key.
 
     Links by plate key are most of all pairs, so none of them is shuffled: ids with the same set of keys are one class, the pairs of
-    classes that share a key are made distinct, and ids are dealt out only after that, assets by ``chunk`` to a row."""
+    classes that share a key are made distinct, and each is cut into blocks, of ``chunk`` assets and a quarter as many golds. Blocks
+    are dealt evenly over all tasks, however few the classes are, and only there become links."""
     by_stem = assets.groupBy("stem").agg(F.max_by("asset_id", "ord").alias("asset_id"))
     direct = gold.join(by_stem, gold["key"] == by_stem["stem"]).select("gold_id", "asset_id", F.lit("artifact").alias("link_type"))
-    keys = lambda own, name, of: own.select(name, F.explode(of).alias("k")).filter("k IS NOT NULL").groupBy(name).agg(F.array_sort(F.collect_set("k")).alias("keys"))
-    left, right = keys(gold, "gold_id", "plate_keys"), keys(assets, "asset_id", "reference_keys")
-    right = right.select("asset_id", F.col("keys").alias("theirs"))
-    sizes = right.groupBy("theirs").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    chunks = right.join(sizes, "theirs").groupBy("theirs", F.expr("pmod(xxhash64(asset_id), parts)").alias("part")).agg(F.expr("array_agg(asset_id)").alias("ids")).select("theirs", "ids")
-    of = lambda own, name: own.select(F.col(name), F.explode(name).alias("k")).distinct()
-    met = of(left.withColumnRenamed("keys", "own"), "own").join(of(sizes, "theirs"), "k").select("own", "theirs").distinct()
-    dealt = left.join(met.join(chunks, "theirs").select("own", "ids"), F.col("keys") == F.col("own"))
-    return direct.unionByName(dealt.select("gold_id", F.explode("ids").alias("asset_id"), F.lit("color_plate").alias("link_type")))
+    keys = lambda own, name, of, to: own.select(name, F.explode(of).alias("k")).filter("k IS NOT NULL").groupBy(name).agg(F.array_sort(F.collect_set("k")).alias(to))
+    left, right = keys(gold, "gold_id", "plate_keys", "own"), keys(assets, "asset_id", "reference_keys", "theirs")
+    of = lambda rows, name: rows.select(name).distinct().select(name, F.explode(name).alias("k"))
+    met = of(left, "own").join(of(right, "theirs"), "k").select("own", "theirs").distinct()
+    blocks = met.join(_blocks(left, "gold_id", "own", max(1, chunk // 4)), "own").join(_blocks(right, "asset_id", "theirs", chunk), "theirs")
+    spark = gold.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a compiled explode holds all its rows before the first is taken: the transform keeps the outer one, of whole blocks, from being compiled
+    golds = blocks.select("gold_id", "asset_id").repartition(tasks).select("asset_id", F.explode(F.transform("gold_id", lambda x: x)).alias("gold_id"))
+    return direct.unionByName(golds.select("gold_id", F.explode("asset_id").alias("asset_id"), F.lit("color_plate").alias("link_type")))
 
 
 def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
